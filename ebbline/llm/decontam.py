@@ -4,8 +4,7 @@
 2. Benchmark passages are TF-IDF vectors; a distributed randomised SVD (range finder with power iterations, each one
    pass over the passages) gives the latent space.
 3. Every document is read whole, as overlapping windows. A window whose cosine with a passage in the latent space is
-   high enough is a candidate. Windows that hold too little of the vocabulary can't reach it and are left out first:
-   the share of their weight that lies in the vocabulary bounds the cosine.
+   high enough is a candidate. Windows whose weight within the vocabulary is too small to reach it are left out first.
 4. Candidates are confirmed on words: the longest common subsequence with the passage must cover enough of it, or
    less of it if the answer (its last sentence) is there.
 
@@ -21,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,17 @@ from pyspark.sql import functions as F
 from ebbline.llm.common import cut, maybe_broadcast
 
 #: Benchmark items and words of a portion.
-ITEMS, ITEM_WORDS = 2048, 400_000
+ITEMS, ITEM_WORDS = 2048, 100_000
 #: Latent dimensions at most, extra ones of the range finder, and power iterations.
 RANK, EXTRA, POWER = 256, 16, 2
+#: Power of a word's inverse frequency in its weight: rare words count more.
+SHARP = 1.5
 #: Words of a block; windows are so many blocks wide.
-BLOCK, WIDE = 16, (2, 4)
+BLOCK, WIDE = 16, (1, 2, 4)
+#: Words and windows that are searched at a time.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 512
 #: Least cosine of a candidate; least share of a passage that its common subsequence covers; the same with the answer; share of the answer.
-COSINE, COVER, COVER_ANSWERED, ANSWER = 0.3, 0.6, 0.45, 0.8
+COSINE, COVER, COVER_ANSWERED, ANSWER = 0.4, 0.6, 0.45, 0.8
 
 _GAPS = bytes(32 if chr(i) in " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00" or i < 32 or i == 127 else i for i in range(256))
 
@@ -69,9 +73,10 @@ class Model:
     items: list[np.ndarray]  # words of each item by number, from 1 on
     answers: list[np.ndarray]
     vocabulary: dict[bytes, int]
-    idf: np.ndarray  # by number; 0 is every other word
-    latent: np.ndarray | None = None  # of each word
-    passages: np.ndarray | None = None  # of each item, with unit length before the projection
+    weight: np.ndarray  # of each word; 0 is every other word
+    least_norm: float  # of an item
+    latent: np.ndarray  # of each word, times its weight
+    passages: np.ndarray  # of each item, with unit length before the projection
 
 
 def portions(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tuple[int, str]]]:
@@ -91,8 +96,7 @@ def portions(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tuple[i
 
 def _known(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
     found = words(text) if text else []
-    get = vocabulary.get
-    return np.fromiter((get(w, 0) for w in found), dtype=np.int32, count=len(found))
+    return np.fromiter(map(vocabulary.get, found, repeat(0)), dtype=np.int32, count=len(found))
 
 
 def frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str) -> tuple[int, np.ndarray]:
@@ -159,68 +163,90 @@ def fit(docs: DataFrame, some: list[tuple[int, str]], text: str) -> Model:
     answers = [np.array([vocabulary[w] for w in answer_of(t)], dtype=np.int32) for _, t in some]
     n, counts = frequencies(docs, vocabulary, text)
     idf = np.log((1 + n) / (1 + counts)) + 0.05
-    idf[0] = np.log(1 + n) if n else 1.0  # invented and rare words: the documents' own
-    vectors = []
+    idf[0] = np.median(idf[1:])  # the documents' own words count like a middling one of the benchmark
+    weight = idf**SHARP
+    vectors, norms = [], []
     for x in numbers:
         at, tf = np.unique(x, return_counts=True)
-        value = tf * idf[at]
-        vectors.append((at, value / np.linalg.norm(value)))
+        norms.append(np.linalg.norm(tf * weight[at]))
+        vectors.append((at, tf * weight[at] / norms[-1]))
     rows = spark.createDataFrame([(at.tolist(), v.tolist()) for at, v in vectors], "at array<int>, value array<double>")
     space = randomised_svd(rows, len(idf), min(RANK, len(some)))
     passages = np.stack([v @ space[at] for at, v in vectors])
-    return Model([k for k, _ in some], numbers, answers, vocabulary, idf.astype(np.float32), (space * idf[:, None]).astype(np.float32), passages.astype(np.float32))
-
-
-def _sums(values: np.ndarray, width: int) -> np.ndarray:
-    """Sums over each run of so many blocks; the last runs are shorter."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.minimum(np.arange(len(values)) + width, len(values))
-    return total[ends] - total[:-1]
-
-
-def search(here: np.ndarray, model: Model) -> list[tuple[int, float, int, int, float]]:
-    """item, covered share, start and end of the window in words, cosine: of each item found in a document, its best window."""
-    if not (here > 0).any():
-        return []
-    cuts = np.arange(0, len(here), BLOCK)
-    weight = model.idf[here] ** 2
-    mass, own = np.add.reduceat(weight, cuts), np.add.reduceat(np.where(here > 0, weight, 0), cuts)
-    candidates: dict[int, list[tuple[int, int, float]]] = {}
+    return Model([k for k, _ in some], numbers, answers, vocabulary, weight.astype(np.float32), min(norms), (space * weight[:, None]).astype(np.float32), passages.astype(np.float32))
+
+
+def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
+    """(text, item) -> windows (start, end, cosine). All texts lie one after another; windows stay within theirs."""
+    lengths = np.array([len(x) for x in texts])
+    here = np.concatenate(texts)
+    blocks = -(-lengths // BLOCK)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    base = np.cumsum(lengths) - lengths
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(len(owner)) - first[owner]
+    at = base[owner] + BLOCK * number
+    last = (first + blocks)[owner]
+    if not len(at):
+        return {}
+    mass = model.weight[here].astype(np.float64) ** 2
+    whole = np.concatenate([[0.0], np.cumsum(np.add.reduceat(mass, at))])
+    mass[here == 0] = 0
+    own = np.concatenate([[0.0], np.cumsum(np.add.reduceat(mass, at))])
+    found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
     for width in WIDE:
-        whole, ours = _sums(mass, width), _sums(own, width)
-        at = np.flatnonzero(ours >= COSINE**2 * whole)
-        # portions of windows: memory stays bounded however long the text is
-        for a in range(0, len(at), 4096):
-            some = at[a : a + 4096]
-            blocks = np.unique(np.minimum(some[:, None] + np.arange(width)[None, :], len(cuts) - 1))
-            lines = np.concatenate([here[b * BLOCK : (b + 1) * BLOCK] for b in blocks])
-            starts = np.concatenate([[0], np.cumsum([min(BLOCK, len(here) - b * BLOCK) for b in blocks])[:-1]])
-            latent = np.add.reduceat(model.latent[lines], starts, axis=0)
-            place = {int(b): i for i, b in enumerate(blocks)}
-            window = np.stack([latent[[place[b] for b in range(int(s), min(int(s) + width, len(cuts)))]].sum(axis=0) for s in some])
-            cosine = (window @ model.passages.T) / np.sqrt(whole[some])[:, None]
+        ends = np.minimum(np.arange(len(at)) + width, last)
+        total, ours = whole[ends] - whole[:-1], own[ends] - own[:-1]
+        # two bounds of the cosine: the share of the window's own length, and the least length of an item
+        some = np.flatnonzero((ours >= COSINE**2 * total) & (ours >= COSINE * model.least_norm * np.sqrt(total)))
+        for a in range(0, len(some), WINDOWS_AT_ONCE):
+            part = some[a : a + WINDOWS_AT_ONCE]
+            start = at[part]
+            end = np.minimum(start + width * BLOCK, (base + lengths)[owner[part]])
+            place = start[:, None] + np.arange(width * BLOCK)[None, :]
+            inside = place < end[:, None]
+            known = here[np.where(inside, place, 0)] * inside
+            row, column = np.nonzero(known)
+            counts = np.bincount(row, minlength=len(part))
+            sums = np.add.reduceat(model.latent[known[row, column]], np.cumsum(counts) - counts, axis=0)
+            cosine = (sums @ model.passages.T) / np.sqrt(total[part])[:, None]
             for i, item in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                candidates.setdefault(int(item), []).append((int(some[i]) * BLOCK, min(len(here), (int(some[i]) + width) * BLOCK), float(cosine[i, item])))
+                text = int(owner[part[i]])
+                found.setdefault((text, int(item)), []).append((int(start[i] - base[text]), int(end[i] - base[text]), float(cosine[i, item])))
+    return found
+
+
+def confirmed(here: np.ndarray, item: int, windows: list[tuple[int, int, float]], model: Model, present: np.ndarray) -> tuple[float, int, int, float] | None:
+    """Covered share, window and cosine of the window that covers most of the item, if it covers enough. present: flags, all false."""
+    passage, answer = model.items[item], model.answers[item]
+    best, tried = None, set()
+    for start, end, cosine in sorted(windows, key=lambda x: (-x[2], x[0], x[1])):
+        # a window and as much around it as the passage could take
+        part = here[max(0, start - len(passage)) : end + len(passage)]
+        # a subsequence has no more words than occur at all
+        present[part] = True
+        share, answered = present[passage].mean(), len(answer) > 0 and present[answer].mean() >= ANSWER
+        present[part] = False
+        key = start // (2 * BLOCK)
+        if share < (COVER_ANSWERED if answered else COVER) or key in tried:
+            continue
+        tried.add(key)
+        share = subsequence(passage, part) / len(passage)
+        answered = answered and subsequence(answer, part) >= ANSWER * len(answer)
+        if share >= (COVER_ANSWERED if answered else COVER) and (best is None or share > best[0]):
+            best = (share, start, end, cosine)
+            if share == 1:
+                break
+    return best
+
+
+def search(texts: list[np.ndarray], model: Model) -> list[tuple[int, int, float, int, int, float]]:
+    """text, item, covered share, start and end of the window in words, cosine: of each item found in a text, its best window."""
+    present = np.zeros(len(model.weight), dtype=bool)
     found = []
-    for item, windows in candidates.items():
-        passage, answer = model.items[item], model.answers[item]
-        best = None
-        reach = 0
-        for start, end, cosine in sorted(windows):
-            # a window and as much around it as the passage could take
-            a, b = max(0, start - len(passage)), min(len(here), end + len(passage))
-            if best and b <= reach:
-                continue
-            reach = b
-            part = here[a:b]
-            share = subsequence(passage, part) / len(passage)
-            answered = len(answer) and np.isin(answer, part).mean() >= ANSWER and subsequence(answer, part) >= ANSWER * len(answer)
-            if (share >= COVER or (share >= COVER_ANSWERED and answered)) and (best is None or share > best[1]):
-                best = (item, share, start, end, cosine)
-                if share == 1:
-                    break
-        if best:
-            found.append(best)
+    for (text, item), windows in sorted(candidates(texts, model).items()):
+        if best := confirmed(texts[text], item, windows, model, present):
+            found.append((text, item, *best))
     return found
 
 
@@ -236,14 +262,27 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model = shared.value
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+
+            def out(keys: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+                rows = [(keys[text], model.ids[item], *rest) for text, item, *rest in search(texts, model)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+            keys, texts, size = [], [], 0
             for batch in batches:
-                rows = []
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     here = _known(t.as_py(), model.vocabulary)
-                    rows += [(k, model.ids[item], share, start, end, cosine) for item, share, start, end, cosine in search(here, model)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+                    if not here.any():
+                        continue
+                    keys.append(k)
+                    texts.append(here)
+                    size += len(here)
+                    if size >= WORDS_AT_ONCE:
+                        yield out(keys, texts)
+                        keys, texts, size = [], [], 0
+            if texts:
+                yield out(keys, texts)
 
         part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, FOUND)
         out = out.union(part)
