@@ -1,22 +1,24 @@
-"""Queries of the engine's own operators over the driver's tables."""
+"""Queries of the engine's own operators over the driver's tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ebbline.plans import markets, series
+
+ENTRIES = {**series.OUT, **markets.OUT}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of every event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("value").alias("volume"))
+    """Trend entries and exits of regional daily bars."""
+    return ENTRIES["trend_entry_candidates"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
