@@ -162,7 +162,7 @@ def range_expansion(spark, d):
     frame = Window.partitionBy("symbol").orderBy("day_ms").rowsBetween(-42, -1)
     base = F.when(F.count("range").over(frame) == 42, F.percentile("range", F.lit(0.5)).over(frame))
     span = F.col("high") - F.col("low")
-    out = made.select("symbol", "day_ms", "range", (F.col("range") / base).alias("ratio"), F.try_divide(F.col("close") - F.col("low"), span).alias("location"), F.try_divide(F.abs(F.col("close") - F.col("open")), span).alias("body"))
+    out = made.select("symbol", "day_ms", "range", F.try_divide(F.col("range"), base).alias("ratio"), F.try_divide(F.col("close") - F.col("low"), span).alias("location"), F.try_divide(F.abs(F.col("close") - F.col("open")), span).alias("body"))
     return _r(out.filter("ratio >= 1.1 AND location >= 0.8"), "range", "ratio", "location", "body")
 
 
