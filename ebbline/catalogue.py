@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbline.plans import markets, series
+from ebbline.plans import markets, more, series
 
-ENTRIES = {**series.OUT, **markets.OUT}
+ENTRIES = {**series.OUT, **markets.OUT, **more.OUT}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
