@@ -18,9 +18,11 @@ one by one; an empty table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END = 2048, 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Letters, then marks that the tokenizer takes for a word of their own.
 _MARKED = re.compile(r"([^\W\d_]+)([!#-&(-/:-;=?@\[\]^`{}~]+)")
 #: Windows that are balanced together, the longest piece that is balanced as a whole, and the tokens over capacity that a window may give away.
@@ -48,45 +50,84 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words:
-    """Ids by the tokenizers library. White space is dropped by its normalizer and never inside a token, so texts are cut at spaces and line feeds and each different word is encoded once."""
+class Words(dict):
+    """Ids of words by the tokenizers library's vocabulary, each different word encoded once.
+
+    White space is dropped by the tokenizer's normalizer and is never inside a token, so texts are cut at spaces and
+    line feeds. Words of Latin letters, with or without ASCII marks after them, are merged by tiktoken over the same
+    merges; every other word goes through the tokenizers library itself. The two agree because each token's own
+    letters merge to that token (the tests check this for the whole vocabulary, and both on random texts).
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
+        self.before: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, new: list[str]) -> None:
-        """A word of letters before ASCII marks is two tokens' worth of words: the pre-tokenizer cuts there, and lower-cases."""
-        plain: dict[str, None] = {}
-        made = []
-        for w in new:
-            # a letter whose lower case isn't all letters would join the marks
-            if (m := _MARKED.fullmatch(w)) and m[1].isalpha() and m[1].lower().isalpha():
-                body, marks = m[1], m[2]
-                body = body.lower() if body.isascii() else body
-                made.append((w, body, marks))
-                plain[body] = plain[marks] = None
+        ranks, self.ids_of = merge_ranks(path)
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _library(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Letters below U+0130 are in normal form and lower-case one by one."""
+        of = self.ids_of
+        return array("I", [of[r] for r in self.merge(word.lower().encode() + WORD_END)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            if word.isalpha() and max(word) < "\u0130":
+                found = self._letters(word)
+            elif (m := _MARKED.fullmatch(word)) and m[1].isalpha() and max(m[1]) < "\u0130":
+                found = self[m[1]] + self[m[2]]
             else:
-                plain[w] = None
-        part = [w for w in plain if w not in self.known]
-        for a in range(0, len(part), 20_000):
-            some = part[a : a + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, body, marks in made:
-            self.known[w] = self.known[body] + self.known[marks]
+                found = self._library(word)
+        self[word] = found
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without the end mark."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
-        if new := list({w for words in cut for w in words if w not in known}):
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        """Unsigned 32-bit ids (little-endian) of each text, without the end mark."""
+        if len(self) > REMEMBERED:
+            # what is used again moves over, the rest is forgotten
+            self.before = dict(self)
+            self.clear()
+            self[""] = b""
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+#: Stands after a word's last letter; no UTF-8 text has this byte.
+WORD_END = b"\xff"
+
+
+def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]]:
+    """The vocabulary's merges as ranks of byte strings, and the id of each rank (-1 for what never ends a merge)."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    # byte-level vocabularies write bytes as printable characters: those that print stand for themselves
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix("</w>")
+        return bytes(byte_of[c] for c in body) + (WORD_END if body != token else b"")
+
+    ranks = {bytes([b]): b for b in range(256)}
+    for b in range(255):  # a word's last letter comes with its end, before any merge
+        ranks[bytes([b]) + WORD_END] = len(ranks)
+    for pair in model["merges"]:
+        left, right = pair if isinstance(pair, list) else pair.split(" ")
+        ranks.setdefault(raw(left + right), len(ranks))
+    ids = [-1] * len(ranks)
+    for token, i in model["vocab"].items():
+        if not token.startswith("<|") and (r := ranks.get(raw(token))) is not None:
+            ids[r] = i
+    return ranks, ids
 
 
 _words: dict[str, Words] = {}
