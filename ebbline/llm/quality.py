@@ -135,10 +135,14 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns.
+
+    A row passes through a generator that gives one row or none: a filter on the verdict would be pushed below the
+    projections, and every measure copied into it again and again."""
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("text").alias("__in"))
-    return judge(packed, "__in", ("__row",), rules).filter("kept").select(*(F.col("__row").getField(c).alias(c) for c in names))
+    judged = judge(packed, "__in", ("__row",), rules).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__out"))
+    return judged.filter("__out IS NOT NULL").select(*(F.col("__out").getField(c).alias(c) for c in names))
 
 
 #: The same verdict in DuckDB SQL.
