@@ -163,14 +163,13 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep columns, text and n_chars."""
     source = pages.select(*keep, F.col(page).alias("__html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text = [main_text(x if isinstance(x, str) else None) for x in batch.pop("__html")]
             yield batch.assign(text=text, n_chars=[len(t) for t in text])
 
-    # ids keep their type and their nulls: pandas would turn a nullable integer into a float
-    exact = source.withColumns({k: F.col(k).cast("string") for k in keep})
-    out = exact.mapInPandas(run, ", ".join(f"`{k}` string" for k in keep) + ", text string, n_chars long")
-    return out.selectExpr(*(f"cast(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in source.schema.fields[:-1]), "text", "n_chars") if fields else out
+    # ids travel as text: pandas would turn a nullable integer into a float
+    texts = source.withColumns({k: F.col(k).cast("string") for k in keep})
+    out = texts.mapInPandas(run, ", ".join(f"`{k}` string" for k in keep) + ", text string, n_chars long")
+    return out.select(*(F.col(k).cast(source.schema[k].dataType) for k in keep), "text", "n_chars")
