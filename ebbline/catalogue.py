@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbline.plans import markets, more, series
+from ebbline.plans import markets, more, series, strategies
 
-ENTRIES = {**series.OUT, **markets.OUT, **more.OUT}
+ENTRIES = {**series.OUT, **markets.OUT, **more.OUT, **strategies.OUT}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
