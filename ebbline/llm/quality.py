@@ -47,6 +47,7 @@ RULES = (
     Rule("repeat_ratio", 0.0, 0.2),
     Rule("bang_ratio", 0.0, 0.3),
     Rule("long_word_ratio", 0.0, 0.05, from_words=20),
+    Rule("echo_ratio", 0.0, 0.25),
 )
 
 
@@ -99,6 +100,7 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         F.size(F.filter(stop_hash, lambda h: F.array_contains(stops, h))).cast("long").alias("n_stop_words"),
         F.size(F.filter("__words", lambda w: w.endswith("!!"))).cast("long").alias("n_bangs"),
         F.size(F.filter("__words", lambda w: F.length(w) > 40)).cast("long").alias("n_long_words"),
+        F.size(F.filter(F.transform("__hash", lambda h, i: F.coalesce(at(i, -1) == h, F.lit(False))), lambda same: same)).cast("long").alias("n_echoes"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counted.select(
@@ -110,6 +112,7 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         share("n_repeat_words", "n_words").alias("repeat_ratio"),
         share("n_bangs", "n_words").alias("bang_ratio"),
         share("n_long_words", "n_words").alias("long_word_ratio"),
+        share("n_echoes", "n_words").alias("echo_ratio"),
     )
 
 
@@ -174,13 +177,14 @@ m AS (
          len(l) AS n_lines,
          len(list_filter(w, lambda x: length(x) <= 5 AND lower(rtrim(x, '.,;:')) IN ({stops}))) AS n_stop_words,
          len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_bangs,
-         len(list_filter(w, lambda x: length(x) > 40)) AS n_long_words
+         len(list_filter(w, lambda x: length(x) > 40)) AS n_long_words,
+         len(list_filter(range(2, len(w) + 1), lambda x: w[x] = w[x - 1])) AS n_echoes
   FROM base LEFT JOIN rep USING (doc_id)),
 r AS (
   SELECT *, {share("word_chars", "n_words", "mean_word_length")}, {share("n_symbols", "n_words", "symbol_ratio")},
          {share("n_stop_words", "n_words", "stop_word_ratio")}, {share("n_dup_lines", "n_lines", "dup_line_ratio")},
          {share("n_repeat_words", "n_words", "repeat_ratio")}, {share("n_bangs", "n_words", "bang_ratio")},
-         {share("n_long_words", "n_words", "long_word_ratio")},
+         {share("n_long_words", "n_words", "long_word_ratio")}, {share("n_echoes", "n_words", "echo_ratio")},
          n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
   FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
