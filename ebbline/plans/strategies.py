@@ -129,7 +129,7 @@ def funding_cycles(spark, d):
 def active_universe_benchmark(spark, d):
     """Equal weights in the month's members: the mean daily return of those present, compounded."""
     p = panel(spark, d)
-    members = universe.membership(universe.monthly_volumes(p, 90, 60), 5)
+    members = universe.membership(universe.monthly_volumes(p, 90, 10), 5)
     returns = p.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day_ms")) - 1).filter("r IS NOT NULL")
     daily = universe.active(returns, members, "day_ms").groupBy("day_ms").agg(F.avg(F.least(F.col("r"), F.lit(0.05))).alias("r"), F.count("*").alias("members"))
 
