@@ -24,12 +24,19 @@ def daily_equity(trades: DataFrame, initial: float) -> DataFrame:
 def marked_equity(trades: DataFrame, marks: DataFrame, initial: float) -> DataFrame:
     """Daily equity with open trades at their marks. marks: pair, day, close.
 
-    A trade is open on the days from its opening to the day before its close; it is dealt to those days, so the join
-    with the marks is by key."""
+    A trade is open from its day to the day before its close. What open trades are worth is mark * units - stakes, so
+    units and stakes are summed over openings and closings: no trade is dealt to its days."""
     day = lambda c: F.floor(F.col(c) / DAY).cast("long")
-    open_days = trades.filter(day("close_ms") > day("open_ms")).select("pair", "stake", "open_rate", F.explode(F.sequence(day("open_ms"), day("close_ms") - 1)).alias("day"))
-    floating = open_days.join(marks, ["pair", "day"]).groupBy("pair", "day").agg(F.sum(F.col("stake") * (F.col("close") / F.col("open_rate") - 1)).alias("floating"), F.count("*").alias("open_trades"))
-    return daily_equity(trades, initial).join(floating, ["pair", "day"], "left").select("pair", "day", (F.col("equity") + F.coalesce("floating", F.lit(0.0))).alias("equity"), F.coalesce("open_trades", F.lit(0)).alias("open_trades"))
+    held = trades.filter(day("close_ms") > day("open_ms"))
+    side = lambda c, sign: held.select("pair", day(c).alias("day"), (sign * F.col("stake") / F.col("open_rate")).alias("units"), (sign * F.col("stake")).alias("stakes"), F.lit(sign).alias("trades"))
+    moves = side("open_ms", 1).unionByName(side("close_ms", -1)).groupBy("pair", "day").agg(*(F.sum(c).alias(c) for c in ("units", "stakes", "trades")))
+    so_far = Window.partitionBy("pair").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    made = daily_equity(trades, initial).join(moves, ["pair", "day"], "left").join(marks, ["pair", "day"], "left")
+    made = made.select("pair", "day", "equity", "close", total("units").alias("units"), total("stakes").alias("stakes"), total("trades").alias("n"))
+    marked = F.col("close").isNotNull()
+    worth = F.when(marked, F.col("close") * F.col("units") - F.col("stakes")).otherwise(0.0)
+    return made.select("pair", "day", (F.col("equity") + worth).alias("equity"), F.when(marked, F.col("n")).otherwise(0).alias("open_trades"))
 
 
 def drawdowns(equity: DataFrame, key: str = "pair", ts: str = "day") -> DataFrame:
