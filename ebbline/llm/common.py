@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of an Arrow batch while a table is cut.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -50,13 +54,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from a table in the shared folder: its lineage ends there."""
+    """df, computed once and read back from a table in the shared folder: its lineage ends there.
+
+    While it is computed, Arrow batches are short: texts are long, and a worker holds a batch as a whole."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ebbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(int(before) if 0 < int(before) < BATCH_ROWS else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives back what a worker's Arrow pool keeps: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a side of a counted size; beyond the bound Spark shuffles and splits skewed keys."""
     return F.broadcast(df) if rows <= bound else df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import cut, maybe_broadcast
+from ebbline.llm.common import cut, maybe_broadcast, release
 
 #: Benchmark items and words of a portion.
 ITEMS, ITEM_WORDS = 2048, 100_000
@@ -283,6 +283,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
                         keys, texts, size = [], [], 0
             if texts:
                 yield out(keys, texts)
+            release()
 
         part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, FOUND)
         out = out.union(part)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import cut, maybe_broadcast
+from ebbline.llm.common import cut, maybe_broadcast, release
 from ebbline.llm.components import EDGES, Union, components
 
 TREES, LEVELS = 32, 4
@@ -40,7 +40,7 @@ NEIGHBOURS = 2
 #: How far below the threshold a sketch may be (one bit per value: 5 standard deviations).
 SLACK = 0.25
 #: Classes and shingles of a block, and shingles of small regions that a task takes together.
-BLOCK, BLOCK_SHINGLES, TOGETHER = 256, 2_000_000, 2_000_000
+BLOCK, BLOCK_SHINGLES, TOGETHER = 256, 500_000, 500_000
 
 _VALUES = TREES * LEVELS
 _random = np.random.default_rng(20_240_101)
@@ -97,6 +97,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "signed", "sketch"])
+    release()
 
 
 def sketches(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -165,7 +166,7 @@ def linked(sets: list[np.ndarray], percent: int, ours: np.ndarray | None = None,
     left = np.arange(len(sets)) if ours is None else np.flatnonzero(ours)
     right = left if ours is None else np.flatnonzero(~ours)
     common = np.zeros((len(left), len(right)), dtype=np.float32)
-    width = max(64, min(columns, 4_000_000 // max(1, len(sets))))
+    width = max(64, min(columns, 2_000_000 // max(1, len(sets))))
     last = int(place[-1]) + 1 if len(place) else 0
     for a in range(0, last, width):
         i, j = np.searchsorted(place, [a, a + width])
@@ -216,7 +217,7 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int, text: st
             found = [shingles(t.as_py() or b"", size).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["found", "node", "region", "block", "blocks"])
 
-    full = chosen.mapInArrow(run, "found binary, node long, region long, block int, blocks int")
+    full = chosen.mapInArrow(run, "found binary, node long, region long, block int, blocks int")  # texts become sets before the shuffle
     others = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
     spread = full.select("region", "node", "found", "block", "blocks", F.explode(others).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
@@ -239,10 +240,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     signed = cut(sketches(docs, size, text, key))
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signed").alias("signed"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies")))
-    pairs = forest(classes, percent / 100 - SLACK)
+    # tables between the Python steps: one task then needs one worker at a time
+    pairs = cut(forest(classes, percent / 100 - SLACK))
     members = components(pairs).select(F.col("root").alias("region"), "node")
     sized = members.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    found = links(docs, sized.select("region", "node", "n_shingles"), size, percent, text, key)
+    found = cut(links(docs, sized.select("region", "node", "n_shingles"), size, percent, text, key))
     roots = cut(components(found.union(_split_ids(known, classes))))
     named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "n_copies")
     joined = signed.join(named, "digest", "left")
@@ -258,5 +260,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
 def stage(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id."""
-    gone = near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct())
+    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

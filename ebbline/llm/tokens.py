@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.common import release
+
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END = 2048, 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Letters, then marks that the tokenizer takes for a word of their own.
 _MARKED = re.compile(r"([^\W\d_]+)([!#-&(-/:-;=?@\[\]^`{}~]+)")
 #: Windows that are balanced together, the longest piece that is balanced as a whole, and the tokens over capacity that a window may give away.
@@ -262,6 +264,8 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str, rows: int = 512, chars:
                 keys, texts, size = [], [], 0
     if texts:
         yield from encoded(keys, texts)
+    words.before = {}
+    release()
 
 
 def _first_sequence() -> int:
