@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -69,8 +70,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Gives back what a worker's Arrow pool keeps: workers live on after a task."""
+    """Gives back what a worker's pools keep: workers live on after a task, beside those of other steps."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

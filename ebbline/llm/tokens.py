@@ -37,7 +37,7 @@ from ebbline.llm.common import release
 #: Tokens of a window, and the id that ends each document.
 WINDOW, END = 2048, 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Letters, then marks that the tokenizer takes for a word of their own.
 _MARKED = re.compile(r"([^\W\d_]+)([!#-&(-/:-;=?@\[\]^`{}~]+)")
 #: Windows that are balanced together, the longest piece that is balanced as a whole, and the tokens over capacity that a window may give away.
