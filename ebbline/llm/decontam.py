@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.common import cut, maybe_broadcast, release
 
-#: Benchmark items and words of a portion.
-ITEMS, ITEM_WORDS = 2048, 100_000
-#: Latent dimensions at most, extra ones of the range finder, and power iterations.
-RANK, EXTRA, POWER = 256, 16, 2
+#: Benchmark items and words of a portion. The latent space has a dimension for each item, so no item loses any of its length in it.
+ITEMS, ITEM_WORDS = 256, 100_000
+#: Extra dimensions of the range finder, and power iterations.
+EXTRA, POWER = 16, 2
 #: Power of a word's inverse frequency in its weight: rare words count more.
 SHARP = 1.5
 #: Words of a block; windows are so many blocks wide.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, some: list[tuple[int, str]], text: str) -> Model:
         norms.append(np.linalg.norm(tf * weight[at]))
         vectors.append((at, tf * weight[at] / norms[-1]))
     rows = spark.createDataFrame([(at.tolist(), v.tolist()) for at, v in vectors], "at array<int>, value array<double>")
-    space = randomised_svd(rows, len(idf), min(RANK, len(some)))
+    space = randomised_svd(rows, len(idf), len(some))
     passages = np.stack([v @ space[at] for at, v in vectors])
     return Model([k for k, _ in some], numbers, answers, vocabulary, weight.astype(np.float32), min(norms), (space * weight[:, None]).astype(np.float32), passages.astype(np.float32))
 

@@ -309,6 +309,14 @@ def test_benchmark_portions_change_nothing(spark, bench, monkeypatch):
     assert one == {(i, i) for i, _ in items} == {(r.doc_id, r.item_id) for r in decontam.find(df, table).collect()}
 
 
+def test_large_benchmark_is_found_verbatim(spark):
+    rng = random.Random(13)
+    items = [(k, prose(rng, 30, 6000)) for k in range(1100)]
+    df = spark.createDataFrame([(k, f"{prose(rng, 40, 6000)} {t} {prose(rng, 40, 6000)}", "en", "s", 0) for k, t in items], SCHEMA)
+    found = {(r.doc_id, r.item_id) for r in decontam.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k, _ in items}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
