@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The words of the benchmark are the vocabulary; their document frequencies are counted over all documents.
-2. Benchmark passages are TF-IDF vectors; a distributed randomised SVD (range finder with power iterations, each one
+2. Benchmark items are cut into overlapping passages as wide as the widest window, so that long items need no long
+   window. Passages are TF-IDF vectors; a distributed randomised SVD (range finder with power iterations, each one
    pass over the passages) gives the latent space.
 3. Every document is read whole, as overlapping windows. A window whose cosine with a passage in the latent space is
    high enough is a candidate. Windows whose weight within the vocabulary is too small to reach it are left out first.
-4. Candidates are confirmed on words: the longest common subsequence with the passage must cover enough of it, or
+4. Candidates are confirmed on words: the longest common subsequence with the whole item must cover enough of it, or
    less of it if the answer (its last sentence) is there.
 
-The benchmark is taken in portions of bounded size, so the model that goes to the executors is bounded too; documents
-are never shuffled.
+The benchmark is taken in portions of bounded size, so the model that goes to the executors is bounded too, but for
+single items of more than ``ITEMS`` passages, which are a portion of their own; documents are never shuffled.
 
 Defined results: a null, empty or wordless text is clean; wordless benchmark items match nothing; rows with equal ids
 are searched one by one; an empty table on either side gives an empty result; other columns are left out by ``find``
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.common import cut, maybe_broadcast, release
 
-#: Benchmark items and words of a portion. The latent space has a dimension for each item, so no item loses any of its length in it.
+#: Passages of benchmark items and words of a portion. The latent space has a dimension for each passage, so none loses any of its length in it.
 ITEMS, ITEM_WORDS = 256, 100_000
 #: Extra dimensions of the range finder, and power iterations.
 EXTRA, POWER = 16, 2
@@ -37,9 +38,11 @@ EXTRA, POWER = 16, 2
 SHARP = 1.5
 #: Words of a block; windows are so many blocks wide.
 BLOCK, WIDE = 16, (1, 2, 4)
+#: Words of a passage at most, and from one passage of an item to the next.
+PASSAGE, STEP = BLOCK * WIDE[-1], BLOCK * WIDE[-1] // 2
 #: Words and windows that are searched at a time.
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 512
-#: Least cosine of a candidate; least share of a passage that its common subsequence covers; the same with the answer; share of the answer.
+#: Least cosine of a candidate; least share of an item that its common subsequence covers; the same with the answer; share of the answer.
 COSINE, COVER, COVER_ANSWERED, ANSWER = 0.4, 0.6, 0.45, 0.8
 
 _GAPS = bytes(32 if chr(i) in " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00" or i < 32 or i == 127 else i for i in range(256))
@@ -74,22 +77,31 @@ class Model:
     answers: list[np.ndarray]
     vocabulary: dict[bytes, int]
     weight: np.ndarray  # of each word; 0 is every other word
-    least_norm: float  # of an item
+    least_norm: float  # of a passage
     latent: np.ndarray  # of each word, times its weight
-    passages: np.ndarray  # of each item, with unit length before the projection
+    passages: np.ndarray  # with unit length before the projection
+    owners: np.ndarray  # the item of each passage
+
+
+def starts(n: int) -> list[int]:
+    """First words of the passages of an item of n words."""
+    return [*range(0, n - PASSAGE, STEP), max(0, n - PASSAGE)]
 
 
 def portions(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tuple[int, str]]]:
     """Items in portions of bounded size, by id; the driver holds one at a time."""
-    some, size = [], 0
+    some, size, passages = [], 0, 0
     for row in benchmark.select(F.col(key).cast("long"), text).orderBy(key, text).toLocalIterator():
         if row[1] is None or not words(row[1]):
             continue
-        some.append((row[0], row[1]))
-        size += len(words(row[1]))
-        if len(some) >= ITEMS or size >= ITEM_WORDS:
+        n = len(words(row[1]))
+        more = len(starts(n))
+        if some and (passages + more > ITEMS or size + n > ITEM_WORDS):
             yield some
-            some, size = [], 0
+            some, size, passages = [], 0, 0
+        some.append((row[0], row[1]))
+        size += n
+        passages += more
     if some:
         yield some
 
@@ -165,15 +177,16 @@ def fit(docs: DataFrame, some: list[tuple[int, str]], text: str) -> Model:
     idf = np.log((1 + n) / (1 + counts)) + 0.05
     idf[0] = np.median(idf[1:])  # the documents' own words count like a middling one of the benchmark
     weight = idf**SHARP
+    pieces = [(item, x[a : a + PASSAGE]) for item, x in enumerate(numbers) for a in starts(len(x))]
     vectors, norms = [], []
-    for x in numbers:
+    for _, x in pieces:
         at, tf = np.unique(x, return_counts=True)
         norms.append(np.linalg.norm(tf * weight[at]))
         vectors.append((at, tf * weight[at] / norms[-1]))
     rows = spark.createDataFrame([(at.tolist(), v.tolist()) for at, v in vectors], "at array<int>, value array<double>")
-    space = randomised_svd(rows, len(idf), len(some))
+    space = randomised_svd(rows, len(idf), len(pieces))
     passages = np.stack([v @ space[at] for at, v in vectors])
-    return Model([k for k, _ in some], numbers, answers, vocabulary, weight.astype(np.float32), min(norms), (space * weight[:, None]).astype(np.float32), passages.astype(np.float32))
+    return Model([k for k, _ in some], numbers, answers, vocabulary, weight.astype(np.float32), min(norms), (space * weight[:, None]).astype(np.float32), passages.astype(np.float32), np.array([item for item, _ in pieces]))
 
 
 def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
@@ -197,7 +210,7 @@ def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], l
     for width in WIDE:
         ends = np.minimum(np.arange(len(at)) + width, last)
         total, ours = whole[ends] - whole[:-1], own[ends] - own[:-1]
-        # two bounds of the cosine: the share of the window's own length, and the least length of an item
+        # two bounds of the cosine: the share of the window's own length, and the least length of a passage
         some = np.flatnonzero((ours >= COSINE**2 * total) & (ours >= COSINE * model.least_norm * np.sqrt(total)))
         for a in range(0, len(some), WINDOWS_AT_ONCE):
             part = some[a : a + WINDOWS_AT_ONCE]
@@ -210,9 +223,9 @@ def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], l
             counts = np.bincount(row, minlength=len(part))
             sums = np.add.reduceat(model.latent[known[row, column]], np.cumsum(counts) - counts, axis=0)
             cosine = (sums @ model.passages.T) / np.sqrt(total[part])[:, None]
-            for i, item in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            for i, passage in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 text = int(owner[part[i]])
-                found.setdefault((text, int(item)), []).append((int(start[i] - base[text]), int(end[i] - base[text]), float(cosine[i, item])))
+                found.setdefault((text, int(model.owners[passage])), []).append((int(start[i] - base[text]), int(end[i] - base[text]), float(cosine[i, passage])))
     return found
 
 
@@ -220,14 +233,16 @@ def confirmed(here: np.ndarray, item: int, windows: list[tuple[int, int, float]]
     """Covered share, window and cosine of the window that covers most of the item, if it covers enough. present: flags, all false."""
     passage, answer = model.items[item], model.answers[item]
     best, tried = None, set()
+    # one window of each stretch is tried; of a long item with the stretch beside it too, so the others would show no more
+    stretch, beside = (2 * BLOCK, len(passage)) if len(passage) <= PASSAGE else (len(passage) // 2, len(passage) + len(passage) // 2)
     for start, end, cosine in sorted(windows, key=lambda x: (-x[2], x[0], x[1])):
-        # a window and as much around it as the passage could take
-        part = here[max(0, start - len(passage)) : end + len(passage)]
+        # a window and as much around it as the item could take
+        part = here[max(0, start - beside) : end + beside]
         # a subsequence has no more words than occur at all
         present[part] = True
         share, answered = present[passage].mean(), len(answer) > 0 and present[answer].mean() >= ANSWER
         present[part] = False
-        key = start // (2 * BLOCK)
+        key = start // stretch
         if share < (COVER_ANSWERED if answered else COVER) or key in tried:
             continue
         tried.add(key)

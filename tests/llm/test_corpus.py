@@ -317,6 +317,18 @@ def test_large_benchmark_is_found_verbatim(spark):
     assert found == {(k, k) for k, _ in items}
 
 
+def test_long_items_are_found_whole(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, n, 6000)) for k, n in enumerate((70, 200, 400, 600, 1000, 1500, 2500) * 2)]
+    rows = [(k, f"{prose(rng, 300 + 7 * k, 6000)} {t} {prose(rng, 300, 6000)}", "en", "s", 0) for k, t in items]
+    # a changed copy: every fifth word is another one
+    rows += [(100 + k, " ".join([prose(rng, 200, 6000), *(w if j % 5 else "zzz" for j, w in enumerate(t.split()))]), "en", "s", 0) for k, t in items]
+    rows += [(200 + k, f"{prose(rng, 50, 6000)} {' '.join(t.split()[: len(t.split()) // 3])} {prose(rng, 3000, 6000)}", "en", "s", 0) for k, t in items]
+    found = {(r.doc_id, r.item_id) for r in decontam.find(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found >= {(k, k) for k, _ in items} | {(100 + k, k) for k, _ in items}
+    assert not {(d, i) for d, i in found if d >= 200 and len(items[i][1].split()) > 64}, "a third of an item is not the item"
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
