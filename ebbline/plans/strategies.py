@@ -117,7 +117,7 @@ def _cycles(points: pd.DataFrame, enter: float, leave: int, notional: float) ->
 def funding_cycles(spark, d):
     """Two-leg cycles on settlements made of the ticks, valued at the next hourly open of both legs."""
     t, b = ticks(spark, d), bars(spark, d)
-    points = t.filter("id % 3 = 0").select("symbol", "ts_ms", "id", ((F.col("price") - 45) / 1e5).alias("rate"))
+    points = t.select("symbol", "ts_ms", "id", ((F.col("price") - 45) / 1e5).alias("rate"))
     points = points.withColumn("mean3d", rolling.mean_before(points, "rate", 3 * DAY))
     opens = asof.forward_common(points, b, b).select("symbol", "id", "next_open")
     legs = b.select("symbol", F.col("open_time").alias("next_open"), F.col("open").alias("spot"), (F.col("open") * 1.001).alias("perp"))

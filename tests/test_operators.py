@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions import hashing, money, stats, time
 from ebbline.operators import asof, dedup, episodes, grid, indicators, paths, reconcile, resample, rolling, universe
-from ebbline.plans import trend
+from ebbline.plans import strategies, trend
 from ebbline.sources import archives, envelopes, sinks
 from ebbline.streaming import stateful, windows
 
@@ -235,3 +235,9 @@ def test_stateful_fills(spark, tmp_path):
 def test_segments_restart_after_gaps(spark):
     got = grid.segments(spark.createDataFrame(series(6, skip=(3,)), BAR), H).orderBy("open_time").collect()
     assert [(r.segment_id, r.bars_since_segment_start) for r in got] == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2)]
+
+
+def test_funding_cycles_take_every_tick(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.filter("event_id % 3 <> 0").write.parquet(f"{tmp_path}/events.parquet")
+    assert strategies.funding_cycles(spark, str(tmp_path)).count() > 0
