@@ -191,3 +191,12 @@ def test_url_model_on_held_out_urls(spark):
     right = sum((r.verdict == "block") == (r.page_id >= len(good)) for r in held)
     assert right / len(held) >= 0.9
     assert model == urls.fit(made.filter("page_id % 2 = 0").repartition(5))
+
+
+def test_repeated_urls_change_no_model(spark):
+    good = [f"https://www.river{i}.com/en/{i}" for i in range(60)]
+    bad = [f"http://cheap-casino-{i}{i}.com/x?p={i}&ref=q" for i in range(60)]
+    made = urls.features(spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")).withColumn("label", urls.weak_label(F.col("host")))
+    often = made.join(spark.range(200).select(F.lit(1)), how="cross")
+    model = urls.fit(made, 64)
+    assert model.trees and urls.fit(often, 64) == model
