@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,16 +47,23 @@ def blank_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Without the setting, a temporary one where all run in one process; on a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ebbline-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from a table in the shared folder: its lineage ends there.
+    """df, computed once and read back from a table in the shared folder: its lineage ends there. The table goes when the application ends, or with ``discard``.
 
     While it is computed, Arrow batches are short: texts are long, and a worker holds a batch as a whole."""
     spark = df.sparkSession
@@ -66,7 +74,31 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.ebbline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        files, at = _file_system(df.sparkSession, df.ebbline_path)
+        files.delete(at, True)
+
+
+def plain(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
+    """df with columns named c0, c1, ... that clash with nothing, its own names for ``toDF`` afterwards, and what the wanted columns are called meanwhile."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), names, [f"c{names.index(w)}" for w in wanted]
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in gone (key, distinct); all columns stay, whatever their names."""
+    rows, names, (at,) = plain(docs, key)
+    few = maybe_broadcast(gone.select(F.col(key).alias("__gone")), gone.count())
+    return rows.join(few, F.col(at) == F.col("__gone"), "left_anti").toDF(*names)
 
 
 def release() -> None:

@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014) turn the edges into stars around each component's
 smallest node. Before them, each task replaces the edges that it happens to hold by the stars that they make. A round
-is a pre-aggregated minimum and a join, each result a table in the shared folder.
+is a pre-aggregated minimum and a join, each result a table in the shared folder; the centres of large stars are
+broadcast, so their edges stay where they are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import cut
+from ebbline.llm.common import cut, discard
 
 EDGES = "a long, b long"
 
@@ -62,21 +63,34 @@ def _stars(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[p
     yield out()
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, key: str, bound: int) -> DataFrame:
+    """edges with the least neighbour m of their key. least: key, m, n (neighbours).
+
+    Keys with more neighbours than the bound are few (at most twice the edges by the bound) and are broadcast, so no star's edges meet in one task."""
+    hot = F.broadcast(least.filter(F.col("n") > bound).select(key, "m"))
+    cold = least.filter(F.col("n") <= bound).select(key, "m")
+    return edges.join(hot, key).select("a", "b", "m").union(edges.join(hot, key, "left_anti").join(cold, key).select("a", "b", "m"))
+
+
+def _large(edges: DataFrame, bound: int) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = edges.join(least, "a").select(F.col("m").alias("a"), "b")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    moved = _with_least(edges, least, "a", bound).select(F.col("m").alias("a"), "b")
     return moved.filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, bound: int) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of them. edges: a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, "b", bound).select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.filter("a <> b").union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+#: A star is hot from this many edges on, and from this share of all edges; at most twice the share's inverse are broadcast.
+HOT, HOT_SHARE = 500, 1 / 1000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root for every node of an edge (a, b); root is the smallest node that it reaches."""
     now = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInPandas(_stars, EDGES).distinct())
@@ -85,5 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
         n, members = now.agg(F.count("*"), F.count_distinct("b")).first()
         if n == members and not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break
-        now = cut(_small(_large(now)))
+        bound = max(HOT, int(n * HOT_SHARE))
+        before, now = now, cut(_small(_large(now, bound), bound))
+        discard(before)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
