@@ -6,13 +6,15 @@ over for each stream. A retried task gives the same rows: ids come from the part
 
 * ``best_fit``: best-fit-decreasing; a segment tree over the free room of open windows finds the tightest one.
 * ``differencing``: Karmarkar-Karp; the two partial partitions with the largest imbalances are merged, heavy windows
-  of one with light windows of the other, until one is left. Pieces may be cut anywhere, so a window that is over
-  capacity by a few tokens gives them to windows with room; beyond that the number of windows rises by one.
+  of one with light windows of the other, until one is left. Nothing is moved afterwards: while a window is over
+  capacity, the number of windows rises by one and the pieces are differenced again. Pieces may be cut anywhere, so the
+  last pieces of a group are cut small, which lets the sums meet within a few tokens, and a group leaves that room free.
 
 Documents longer than a window are split without loss: full windows first, the rest is packed like any document.
 
 Defined results: a null text counts as the empty one (its end mark alone); null ids stay; repeated rows are packed
-one by one; an empty table gives an empty result; other columns are left out.
+one by one; very long texts are read whole and cut; of equal sizes the earlier piece goes first, of equal rooms the
+last opened window; an empty table gives an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ WINDOW, END = 2048, 1
 REMEMBERED = 100_000
 #: Letters, then marks that the tokenizer takes for a word of their own.
 _MARKED = re.compile(r"([^\W\d_]+)([!#-&(-/:-;=?@\[\]^`{}~]+)")
-#: Windows that are balanced together, the longest piece that is balanced as a whole, and the tokens over capacity that a window may give away.
-TOGETHER, PIECE, GIVEN = 32, 512, 128
+#: Windows that are balanced together, the longest piece, the sizes of a group's last pieces (as many of each as windows), and the share of a window that a group leaves free.
+TOGETHER, PIECE, LAST, FREE = 32, 512, (32, 16), 1 / 200
 #: Tokens that one best-fit stream holds.
 STREAM = 4_000_000
 
@@ -208,41 +210,36 @@ def differencing(lengths: list[int], n: int) -> tuple[list[list[int]], int]:
         merged += 1
     if not heap:
         return [[] for _ in range(n)], 0
-    windows = heap[0][3]
-    return windows, max(sum(lengths[k] for k in w) for w in windows)
+    return heap[0][3], int(heap[0][2][-1])
 
 
-def balanced(lengths: list[int], capacity: int = WINDOW, given: int = GIVEN) -> list[list[tuple[int, int, int]]]:
-    """Near-equal windows of pieces (item, start, length), as few as hold everything."""
+def balanced(lengths: list[int], capacity: int = WINDOW) -> list[list[int]]:
+    """Items of near-equal windows: from the least number that could hold them on, the first that differencing fits. No item may be longer than a window."""
     n = max(1, -(-sum(lengths) // capacity))
-    while True:
-        windows, heaviest = differencing(lengths, n)
-        if heaviest <= capacity + given:
-            break
+    while (found := differencing(lengths, n))[1] > capacity:
         n += 1
-    made = [[(k, 0, lengths[k]) for k in sorted(w)] for w in windows if w]
-    over: list[tuple[int, int, int]] = []
-    room = []
-    for i, w in enumerate(made):
-        extra = sum(x[2] for x in w) - capacity
-        while extra > 0:
-            k, start, size = w.pop()
-            cut = min(size, extra)
-            over.append((k, start + size - cut, cut))
-            if size > cut:
-                w.append((k, start, size - cut))
-            extra -= cut
-        if extra < 0:
-            room.append([-extra, i])
-    for k, start, size in over:
-        while size:
-            part = min(size, room[-1][0])
-            made[room[-1][1]].append((k, start, part))
-            start, size = start + part, size - part
-            room[-1][0] -= part
-            if not room[-1][0]:
-                room.pop()
-    return made
+    return [sorted(w) for w in found[0] if w]
+
+
+class Room:
+    """What a group still takes: pieces of up to PIECE tokens first, small ones at its end."""
+
+    def __init__(self, window: int = WINDOW, together: int = TOGETHER):
+        self.piece = min(PIECE, window)
+        self.small = [k for k in reversed(LAST) for _ in range(together)] if 8 * sum(LAST) <= window else []
+        self.large = together * (window - int(FREE * window)) - sum(self.small)
+
+    def take(self, wanted: int) -> int:
+        """The size of the next piece of a document that has so many tokens left."""
+        if self.large:
+            size = min(wanted, self.piece, self.large)
+            self.large -= size
+            return size
+        return min(wanted, self.small.pop())
+
+    @property
+    def full(self) -> bool:
+        return not self.large and not self.small
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str, rows: int = 512, chars: int = 4_000_000) -> Iterator[tuple[int | None, bytes]]:
@@ -278,25 +275,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_balanced(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: where it lies in its document and in its window."""
     path = path or default_vocabulary()
-    goal = TOGETHER * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = _first_sequence()
         rows: list[tuple] = []
         waiting: list[tuple] = []  # doc, start, ids, tokens of the document
-        held = 0
+        group = Room(window)
 
         def settle() -> None:
-            nonlocal sequence, held
+            nonlocal sequence
             for pieces in balanced([len(w[2]) // 4 for w in waiting], window):
                 offset = 0
-                for k, first, size in pieces:
+                for k in pieces:
                     doc, start, ids, total = waiting[k]
-                    rows.append((doc, start + first, size, zlib.crc32(ids[4 * first : 4 * (first + size)]), total, sequence, offset))
-                    offset += size
+                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset))
+                    offset += len(ids) // 4
                 sequence += 1
             waiting.clear()
-            held = 0
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -312,12 +307,12 @@ def pack_balanced(docs: DataFrame, text: str = "text", key: str = "doc_id", path
                 sequence += 1
                 start += window
             while start < total:
-                size = min(PIECE, total - start, goal - held)
+                size = group.take(total - start)
                 waiting.append((doc, start, ids[4 * start : 4 * (start + size)], total))
-                held += size
                 start += size
-                if held >= goal:
+                if group.full:
                     settle()
+                    group = Room(window)
             if len(rows) >= 20_000:
                 yield out()
         settle()
@@ -375,9 +370,11 @@ def pack_best_fit(docs: DataFrame, text: str = "text", key: str = "doc_id", path
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, PACKED)
 
 
-def write_packed(docs: DataFrame, out: str, **how) -> None:
-    """Writes the packed windows as Parquet: one id matrix row, its segment lengths and position resets per window."""
-    pack_best_fit(docs, **how).write.parquet(out)
+def write_packed(docs: DataFrame, out: str, window: int = WINDOW, pad: int = 0, **how) -> None:
+    """Writes the packed windows as Parquet: each row of the id matrix padded on the right to the window's width, with its cumulative segment lengths and position resets (padded with 0)."""
+    packed = pack_best_fit(docs, window=window, **how)
+    wide = {c: F.expr(f"rpad({c}, {4 * window}, X'{fill.to_bytes(4, 'little').hex()}')") for c, fill in (("input_ids", pad), ("position_ids", 0))}
+    packed.withColumns(wide).write.parquet(out)
 
 
 def matrix(rows: pd.DataFrame, window: int = WINDOW, pad: int = 0) -> np.ndarray:
