@@ -1,12 +1,14 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines (the blocks of the page). Each line has a weight: its text length, or 0 where it can't
-be main text: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, and, if the page marks its
-article (or main part), whatever is outside it. Weights are summed over sliding windows of lines; main text starts
-where the sums surge and ends where they dive to nothing. Pages without a marked article are cut by the sums alone.
+Markup is stripped into lines (the blocks of the page). Each line has a weight, and tags only set weights: a line's
+text length up to ``LONGEST``, 0 where it can't be main text (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, lines of links), and if the page marks its article (or main part), the most a line can weigh
+inside it and 0 outside. Weights are summed over sliding windows of lines. Main text begins where the sums surge for
+the first time and ends where they dive for the last time; every line of non-zero weight between the two points stays.
 
 Defined results: a null or empty page has the empty text; a page without main text too; null ids stay; repeated rows
-are extracted one by one; an empty table gives an empty result; other columns are left out.
+are extracted one by one; an empty table gives an empty result; other columns are left out, whatever their names. Very
+long pages are read whole in linear time, unclosed tags and quotes included. Of equal sums the outermost count.
 """
 
 from __future__ import annotations
@@ -19,21 +21,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines summed at a time.
-SPAN = 3
-#: Without a marked article: the sum at which main text surges, the share of the best passage that others need, and the share of link text from which a line weighs nothing.
-SURGE, SHARE, LINKED = 80, 0.3, 0.5
+#: Lines summed at a time, and the most that a line weighs.
+SPAN, LONGEST = 3, 400
+#: Share of the highest sum from which sums have surged, and share of link text from which a line weighs nothing.
+SURGE, LINKED = 0.2, 0.5
 
+# Whatever a tag scans it also takes, so that no page needs more than linear time: an unclosed tag ends before the next one.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|object|math|canvas)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select|object|math|canvas)\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?:>|(?=<)|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEVER = frozenset("head nav footer aside form menu dialog button title".split())
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|dialog|alert|form)\b", re.I)
 _MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
@@ -60,12 +63,13 @@ def _unwanted(name: str, attrs: str, inside: bool) -> bool:
 
 
 class _Page:
-    """Lines of a page: (text, length of link text, wanted, in an article, in a main part)."""
+    """Lines of a page: (text, length of link text, wanted, in an article, in a main part, heading)."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, int, bool, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.heading = False
         skip: list[str] = []  # open elements from the outermost unwanted one on, of its name
         article = main = link = 0
         mains: list[tuple[str, int]] = []
@@ -84,6 +88,7 @@ class _Page:
                 link = 0 if ends else 1
             if name not in _INLINE:
                 self._line(not skip, article > 0, main > 0)
+                self.heading = name in _HEADING and not ends
             if skip:
                 if name == skip[0] and not (attrs.endswith("/") or name in _VOID):
                     skip.pop() if ends else skip.append(name)
@@ -124,40 +129,51 @@ class _Page:
     def _line(self, wanted: bool, article: bool, main: bool) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.linked, wanted, article, main))
+                self.lines.append((text, self.linked, wanted, article, main, self.heading))
             self.parts, self.linked = [], 0
 
 
-def passages(weights: list[int], surge: float, share: float) -> list[tuple[int, int]]:
-    """From where window sums surge to where they dive to nothing; passages with less than a share of the best one's weight go."""
-    sums = [sum(weights[i : i + SPAN]) for i in range(len(weights))]
-    found, start = [], None
-    for i, total in enumerate(sums):
-        if start is None and total > surge:
-            start = i
-        if start is not None and not total:
-            found.append((start, i))
-            start = None
-    if start is not None:
-        found.append((start, len(weights)))
-    best = max((sum(weights[a:b]) for a, b in found), default=0)
-    return [(a, b) for a, b in found if sum(weights[a:b]) >= share * best]
+def main_part(weights: list[float]) -> tuple[int, int]:
+    """From the line where window sums surge first to the one where they dive last, end exclusive.
+
+    At either end of the outermost window whose sum has surged, lines below that sum's share of one line don't count."""
+    sums = [sum(weights[i : i + SPAN]) for i in range(max(1, len(weights) - SPAN + 1))]
+    least = SURGE * max(sums)
+    if not least:
+        return 0, 0
+    high = [i for i, total in enumerate(sums) if total >= least]
+    start = next(i for i in range(high[0], len(weights)) if weights[i] >= least / SPAN)
+    end = next(i for i in range(min(high[-1] + SPAN, len(weights)), 0, -1) if weights[i - 1] >= least / SPAN)
+    return start, end
+
+
+def line_weights(page: _Page) -> list[float]:
+    """What each line of a page weighs."""
+    lines = page.lines
+    marked = 3 if any(x[2] and x[3] for x in lines) else 4 if any(x[2] and x[4] for x in lines) else 0
+
+    def weight(line: tuple[str, int, bool, bool, bool, bool]) -> float:
+        text, linked, wanted, _, _, heading = line
+        if not wanted or (marked and not line[marked]):
+            return 0
+        if marked:
+            return LONGEST
+        if linked >= LINKED * len(text):
+            return 0
+        # a heading is at least as much as an edge of main text has to be
+        return max(min(len(text), LONGEST), SURGE * LONGEST if heading else 0)
+
+    return [weight(x) for x in lines]
 
 
 def main_text(source: str | None) -> str:
     """The main text of a page; blocks are joined by one space."""
     if not source:
         return ""
-    lines = _Page(source).lines
-    marked = 3 if any(x[2] and x[3] for x in lines) else 4 if any(x[2] and x[4] for x in lines) else 0
-    if marked:
-        weights = [len(x[0]) if x[2] and x[marked] else 0 for x in lines]
-        kept = passages(weights, 0, 0)
-    else:
-        weights = [len(x[0]) if x[2] and x[1] < LINKED * len(x[0]) else 0 for x in lines]
-        # a page that never surges has its text where there is any
-        kept = passages(weights, SURGE, SHARE) or passages(weights, 0, SHARE)
-    return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i])
+    page = _Page(source)
+    weights = line_weights(page)
+    start, end = main_part(weights)
+    return " ".join(page.lines[i][0] for i in range(start, end) if weights[i])
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
