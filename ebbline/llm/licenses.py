@@ -1,13 +1,15 @@
 """License scans: a positional index of rare license words.
 
-Native: Spark SQL functions only. Every template has a mandatory key phrase. The index holds one posting for a key
-phrase: its rarest word (by document frequency over the whole corpus) and that word's place in the template. A file
-looks its own words up, turns each posting into the template's start (relative positions must agree), and the key
-phrase is verified there word by word. Since every key phrase has a posting, no place is lost.
+Native: Spark SQL functions only. Every template has a mandatory key phrase. The index holds postings for its rarest
+words (highest inverse document frequency over the whole corpus, ``RARE`` at most): the word and its place in the
+phrase. A file looks its own words up; each hit gives a start of the template, by relative position, and the starts of
+all postings of a template are intersected. Where they agree the key phrase is verified word by word. A key phrase
+holds all its postings' words at their places, so no place is lost.
 
 Defined results: a null text counts as the empty one (no words, no places, null first_word and last_word, empty
-labels, score 0); a null id stays null; repeated rows are scanned one by one; an empty table gives an empty result;
-other columns are left out.
+labels, score 0); a null id stays null; repeated rows are scanned one by one; very long texts are scanned whole; of
+equally rare words the first in the alphabet counts; an empty table gives an empty result; other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -78,17 +80,21 @@ def words(text: Column) -> Column:
 
 
 def frequencies(split: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many documents each word of the templates stands: one row for all, whatever the input's size."""
-    counts = split.agg(*(F.count_if(F.array_contains("__words", w)).alias(f"c{i}") for i, w in enumerate(vocabulary))).first()
-    return dict(zip(vocabulary, counts, strict=True))
+    """In how many documents each word of the templates stands, and under "" the number of documents: one row for all, whatever the input's size."""
+    counts = split.agg(F.count("*"), *(F.count_if(F.array_contains("__words", w)).alias(f"c{i}") for i, w in enumerate(vocabulary))).first()
+    return dict(zip(["", *vocabulary], counts, strict=True))
 
 
-def index(templates: tuple[Template, ...], df: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """Postings: rarest word of a key phrase -> (template, the word's place from the key's start)."""
-    found: dict[str, list[tuple[int, int]]] = {}
-    for n, t in enumerate(templates):
-        at, word = min(enumerate(t.key_words), key=lambda x: (df.get(x[1], 0), x[1], x[0]))
-        found.setdefault(word, []).append((n, at))
+#: Postings of a template at most, and the share of documents beyond which a word has none, unless it is the template's rarest.
+RARE, COMMON = 3, 0.2
+
+
+def index(templates: tuple[Template, ...], df: dict[str, int], documents: int) -> list[list[tuple[str, int]]]:
+    """For each template its postings: a rare word of the key phrase and the word's place from the phrase's start, rarest first."""
+    found = []
+    for t in templates:
+        ranked = sorted(enumerate(t.key_words), key=lambda x: (df.get(x[1], 0), x[1], x[0]))
+        found.append([(w, at) for k, (at, w) in enumerate(ranked[:RARE]) if not k or df.get(w, 0) <= COMMON * documents])
     return found
 
 
@@ -98,21 +104,27 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     vocabulary = sorted({w for t in templates for w in t.key_words})
     # the same words in a lighter form: only those of the vocabulary are looked up
     light = docs.select(F.array_distinct(F.filter(words(F.col(text)), lambda w: w.isin(vocabulary))).alias("__words"))
-    postings = index(templates, frequencies(light, vocabulary))
-    anchors = sorted(postings)
+    counts = frequencies(light, vocabulary)
+    postings = index(templates, counts, counts.pop(""))
+    anchors = sorted({w for p in postings for w, _ in p})
 
+    hit = F.transform("__words", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("w"), i.alias("i"))))
+    looked = split.withColumn("__hits", F.filter(hit, lambda h: h.isNotNull()))
     w = F.col("__words")
-    starts = F.filter(
-        F.transform(w, lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("w"), i.alias("i")))),
-        lambda h: h.isNotNull(),
-    )
-    lists = F.create_map(*(y for a in anchors for y in (F.lit(a), F.array(*(F.struct(F.lit(n).alias("t"), F.lit(at).alias("o")) for n, at in postings[a])))))
     keys = F.array(*(F.array(*map(F.lit, t.key_words)) for t in templates))
     every = F.array(*(F.array(*map(F.lit, t.all_words)) for t in templates))
     offsets = F.array(*(F.lit(t.offset) for t in templates))
 
-    def place(hit: Column, p: Column) -> Column:
-        at = hit["i"] - p["o"]
+    def starts(n: int) -> Column:
+        """Where all postings of a template say that it starts."""
+        of = lambda word, at: F.transform(F.filter("__hits", lambda h: h["w"] == word), lambda h: h["i"] - at)
+        first, *more = (of(word, at) for word, at in postings[n])
+        for other in more:
+            first = F.array_intersect(first, other)
+        return F.transform(first, lambda at: F.struct(at.alias("at"), F.lit(n).alias("t")))
+
+    def place(p: Column) -> Column:
+        at = p["at"]
         key = F.get(keys, p["t"])
         same = (at >= 0) & (F.slice(w, F.greatest(at, F.lit(0)) + 1, F.size(key)) == key)
 
@@ -123,8 +135,10 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
 
         return F.when(same, F.struct(at.cast("long").alias("at"), p["t"].alias("template"), let(F.get(every, p["t"]), coverage).alias("score")))
 
-    hits = F.flatten(F.transform(starts, lambda h: F.transform(F.try_element_at(lists, h["w"]), lambda p: place(h, p))))
-    return split.select(*keep, F.size(w).cast("long").alias("n_words"), F.filter(hits, lambda h: h.isNotNull()).alias("places"))
+    none = F.array().cast("array<struct<at:bigint,template:int,score:double>>")
+    tried = F.concat(*(starts(n) for n in range(len(templates))))
+    found = F.when(F.size("__hits") == 0, none).otherwise(F.filter(F.transform(tried, place), lambda h: h.isNotNull()))
+    return looked.select(*keep, F.size(w).cast("long").alias("n_words"), found.alias("places"))
 
 
 def digest(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
