@@ -1,37 +1,46 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The words of the benchmark are the vocabulary; their document frequencies are counted over all documents.
+1. The document frequencies of the benchmark's words are counted in one pass over all documents.
 2. Benchmark items are cut into overlapping passages as wide as the widest window, so that long items need no long
    window. Passages are TF-IDF vectors; a distributed randomised SVD (range finder with power iterations, each one
-   pass over the passages) gives the latent space.
+   pass over the passages) gives the latent space, with a dimension for each passage of a portion.
 3. Every document is read whole, as overlapping windows. A window whose cosine with a passage in the latent space is
-   high enough is a candidate. Windows whose weight within the vocabulary is too small to reach it are left out first.
+   high enough is a candidate. Windows that can't reach it are left out first, by an upper bound of their product with
+   any passage: each word counts with its largest weight in one.
 4. Candidates are confirmed on words: the longest common subsequence with the whole item must cover enough of it, or
    less of it if the answer (its last sentence) is there.
 
-The benchmark is taken in portions of bounded size, so the model that goes to the executors is bounded too, but for
-single items of more than ``ITEMS`` passages, which are a portion of their own; documents are never shuffled.
+The benchmark is taken in portions of bounded size, and ``ROUND`` portions share one pass over the documents, so what
+goes to the executors is bounded too (a single item is whole in each portion that has passages of it); documents are
+never shuffled. The cosine divides by the square root of the summed squares of a window's words, so where a window
+repeats words it is above the true one: never a candidate less.
 
 Defined results: a null, empty or wordless text is clean; wordless benchmark items match nothing; rows with equal ids
-are searched one by one; an empty table on either side gives an empty result; other columns are left out by ``find``
-and kept by ``stage``.
+are searched one by one and give one row for each item, the best; of equally good places the first counts; very long
+texts and items are read whole; an empty table on either side gives an empty result; other columns, whatever their
+names, are left out by ``find`` and kept by ``stage``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import cut, maybe_broadcast, release
+from ebbline.llm.common import cut, release, without
 
 #: Passages of benchmark items and words of a portion. The latent space has a dimension for each passage, so none loses any of its length in it.
 ITEMS, ITEM_WORDS = 256, 100_000
+#: Portions that are searched in one pass.
+ROUND = 8
+#: Bits of the filter that tells the benchmark's words from others while words are counted, and words that a task counts at a time.
+FILTER_BITS, COUNTED = 1 << 25, 500_000
 #: Extra dimensions of the range finder, and power iterations.
 EXTRA, POWER = 16, 2
 #: Power of a word's inverse frequency in its weight: rare words count more.
@@ -70,15 +79,15 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass
 class Model:
-    """What the executors need of one portion of the benchmark."""
+    """What the executors need of one portion of the benchmark. Words have numbers from 1 on, those of its passages first; 0 is every other word."""
 
     ids: list[int]
-    items: list[np.ndarray]  # words of each item by number, from 1 on
+    items: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: dict[bytes, int]
-    weight: np.ndarray  # of each word; 0 is every other word
-    least_norm: float  # of a passage
-    latent: np.ndarray  # of each word, times its weight
+    weight: np.ndarray  # of each word
+    reach: np.ndarray  # the most that each word adds to a product with a passage
+    latent: np.ndarray  # of each word of a passage, times its weight; the last row is 0
     passages: np.ndarray  # with unit length before the projection
     owners: np.ndarray  # the item of each passage
 
@@ -88,51 +97,77 @@ def starts(n: int) -> list[int]:
     return [*range(0, n - PASSAGE, STEP), max(0, n - PASSAGE)]
 
 
-def portions(benchmark: DataFrame, text: str, key: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in portions of bounded size, by id; the driver holds one at a time."""
-    some, size, passages = [], 0, 0
+#: An item of a portion: its id, its text and the first words of those of its passages that belong to the portion.
+Part = tuple[int, str, list[int]]
+
+
+def portions(benchmark: DataFrame, text: str, key: str) -> Iterator[list[Part]]:
+    """Items in portions of bounded size, by id; the driver holds one at a time. An item with more passages than a portion takes several."""
+    some: list[Part] = []
+    size = passages = 0
     for row in benchmark.select(F.col(key).cast("long"), text).orderBy(key, text).toLocalIterator():
-        if row[1] is None or not words(row[1]):
+        n = len(words(row[1])) if row[1] is not None else 0
+        if not n:
             continue
-        n = len(words(row[1]))
-        more = len(starts(n))
-        if some and (passages + more > ITEMS or size + n > ITEM_WORDS):
-            yield some
-            some, size, passages = [], 0, 0
-        some.append((row[0], row[1]))
-        size += n
-        passages += more
+        every = starts(n)
+        for a in range(0, len(every), ITEMS):
+            part = every[a : a + ITEMS]
+            if some and (passages + len(part) > ITEMS or size + n > ITEM_WORDS):
+                yield some
+                some, size, passages = [], 0, 0
+            some.append((row[0], row[1], part))
+            size += n
+            passages += len(part)
     if some:
         yield some
 
 
-def _known(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    found = words(text) if text else []
+def _known(found: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(vocabulary.get, found, repeat(0)), dtype=np.int32, count=len(found))
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those with each word of the vocabulary; 0 is for the mean of all other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _hashes(found: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=n)
+
+
+def frequencies(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> tuple[int, DataFrame]:
+    """The number of documents, and a table of those with each of the benchmark's words (by 64-bit hash), in one pass whatever the benchmark's size.
+
+    A filter of fixed size leaves out nearly all other words before they are counted."""
+    marks = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for row in benchmark.select(item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
+        some = set(words(row[0]))
+        at = _hashes(some, len(some)) % np.uint64(FILTER_BITS)
+        np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts = np.zeros(len(known) + 1, dtype=np.int64)
-        n = 0
+        marks = shared.value
+        held: list[np.ndarray] = []
+        n = size = 0
+
+        def out(documents: list[int]) -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            held.clear()
+            hashes = pa.array([*found.view(np.int64).tolist(), *[None] * len(documents)], pa.int64())
+            return pa.RecordBatch.from_arrays([hashes, pa.array([*counts.tolist(), *documents], pa.int64())], names=["word", "n"])
+
         for batch in batches:
             for t in batch.column(0):
                 n += 1
-                here = _known(t.as_py(), known)
-                counts[np.unique(here[here > 0])] += 1
-        counts[0] = n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["word", "n"])
+                some = set(words(t.as_py() or ""))
+                hashed = _hashes(some, len(some))
+                at = hashed % np.uint64(FILTER_BITS)
+                held.append(hashed[(marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                size += len(held[-1])
+            if size > COUNTED:
+                yield out([])
+                size = 0
+        yield out([n])
 
-    found = docs.select(text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for r in found:
-        counts[r["word"]] = r["n"]
-    return int(counts[0]), counts
+    counts = cut(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    n = counts.filter("word IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    return n, counts.filter("word IS NOT NULL")
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
@@ -166,27 +201,37 @@ def randomised_svd(rows: DataFrame, width: int, rank: int) -> np.ndarray:
     return basis @ vectors[:, best[values[best] > 1e-9]]
 
 
-def fit(docs: DataFrame, some: list[tuple[int, str]], text: str) -> Model:
-    """The latent space of one portion of the benchmark."""
-    spark = docs.sparkSession
-    split = [words(t) for _, t in some]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for x in split for w in x}), 1)}
-    numbers = [np.array([vocabulary[w] for w in x], dtype=np.int32) for x in split]
-    answers = [np.array([vocabulary[w] for w in answer_of(t)], dtype=np.int32) for _, t in some]
-    n, counts = frequencies(docs, vocabulary, text)
-    idf = np.log((1 + n) / (1 + counts)) + 0.05
+def fit(some: list[Part], n: int, counts: DataFrame) -> Model:
+    """The latent space of one portion of the benchmark. n, counts: as frequencies() gives them."""
+    spark = counts.sparkSession
+    split = [words(t) for _, t, _ in some]
+    pieces = [(item, split[item][a : a + PASSAGE]) for item, (_, _, at) in enumerate(some) for a in at]
+    ours = sorted({w for _, x in pieces for w in x})
+    others = sorted({w for x in split for w in x}.difference(ours))
+    vocabulary = {w: i for i, w in enumerate([*ours, *others], 1)}
+    hashes = _hashes(vocabulary, len(vocabulary)).view(np.int64).tolist()
+    wanted = spark.createDataFrame([(h, i) for i, h in enumerate(hashes, 1)], "word long, at int")
+    df = np.zeros(len(vocabulary) + 1)
+    for r in counts.join(F.broadcast(wanted), "word").select("at", "n").collect():
+        df[r["at"]] = r["n"]
+    idf = np.log((1 + n) / (1 + df)) + 0.05
     idf[0] = np.median(idf[1:])  # the documents' own words count like a middling one of the benchmark
     weight = idf**SHARP
-    pieces = [(item, x[a : a + PASSAGE]) for item, x in enumerate(numbers) for a in starts(len(x))]
-    vectors, norms = [], []
+    reach, vectors = np.zeros(len(weight)), []
     for _, x in pieces:
-        at, tf = np.unique(x, return_counts=True)
-        norms.append(np.linalg.norm(tf * weight[at]))
-        vectors.append((at, tf * weight[at] / norms[-1]))
+        at, tf = np.unique([vocabulary[w] for w in x], return_counts=True)
+        value = tf * weight[at]
+        value /= np.linalg.norm(value)
+        reach[at] = np.maximum(reach[at], weight[at] * value)
+        vectors.append((at, value))
     rows = spark.createDataFrame([(at.tolist(), v.tolist()) for at, v in vectors], "at array<int>, value array<double>")
-    space = randomised_svd(rows, len(idf), len(pieces))
-    passages = np.stack([v @ space[at] for at, v in vectors])
-    return Model([k for k, _ in some], numbers, answers, vocabulary, weight.astype(np.float32), min(norms), (space * weight[:, None]).astype(np.float32), passages.astype(np.float32), np.array([item for item, _ in pieces]))
+    space = randomised_svd(rows, len(ours) + 1, len(pieces))
+    passages = np.stack([v @ space[at] for at, v in vectors]).astype(np.float32)
+    latent = np.zeros((len(ours) + 2, space.shape[1]), dtype=np.float32)
+    latent[:-1] = space * weight[: len(ours) + 1, None]
+    numbered = [np.array([vocabulary[w] for w in x], dtype=np.int32) for x in split]
+    answers = [np.array([vocabulary[w] for w in answer_of(t)], dtype=np.int32) for _, t, _ in some]
+    return Model([k for k, _, _ in some], numbered, answers, vocabulary, weight, reach, latent, passages, np.array([item for item, _ in pieces]))
 
 
 def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
@@ -202,16 +247,14 @@ def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], l
     last = (first + blocks)[owner]
     if not len(at):
         return {}
-    mass = model.weight[here].astype(np.float64) ** 2
-    whole = np.concatenate([[0.0], np.cumsum(np.add.reduceat(mass, at))])
-    mass[here == 0] = 0
-    own = np.concatenate([[0.0], np.cumsum(np.add.reduceat(mass, at))])
+    whole = np.concatenate([[0.0], np.cumsum(np.add.reduceat(model.weight[here] ** 2, at))])
+    most = np.concatenate([[0.0], np.cumsum(np.add.reduceat(model.reach[here], at))])
     found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
     for width in WIDE:
         ends = np.minimum(np.arange(len(at)) + width, last)
-        total, ours = whole[ends] - whole[:-1], own[ends] - own[:-1]
-        # two bounds of the cosine: the share of the window's own length, and the least length of a passage
-        some = np.flatnonzero((ours >= COSINE**2 * total) & (ours >= COSINE * model.least_norm * np.sqrt(total)))
+        total = whole[ends] - whole[:-1]
+        # no passage's product with the window is above the sum of its words' largest shares (sums of many words are not exact)
+        some = np.flatnonzero((most[ends] - most[:-1] >= COSINE * np.sqrt(total) * (1 - 1e-6)) & (total > 0))
         for a in range(0, len(some), WINDOWS_AT_ONCE):
             part = some[a : a + WINDOWS_AT_ONCE]
             start = at[part]
@@ -219,6 +262,7 @@ def candidates(texts: list[np.ndarray], model: Model) -> dict[tuple[int, int], l
             place = start[:, None] + np.arange(width * BLOCK)[None, :]
             inside = place < end[:, None]
             known = here[np.where(inside, place, 0)] * inside
+            known[known >= len(model.latent)] = 0  # words of an item that none of the passages has
             row, column = np.nonzero(known)
             counts = np.bincount(row, minlength=len(part))
             sums = np.add.reduceat(model.latent[known[row, column]], np.cumsum(counts) - counts, axis=0)
@@ -268,44 +312,69 @@ def search(texts: list[np.ndarray], model: Model) -> list[tuple[int, int, float,
 FOUND = "doc_id long, item_id long, covered double, first_word long, last_word long, cosine double"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """One row for each benchmark item found in a document."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], FOUND)
-    for some in portions(benchmark, item_text, item_key):
-        shared = spark.sparkContext.broadcast(fit(docs, some, text))
+def _searched(docs: DataFrame, models: list[Model], text: str, key: str) -> DataFrame:
+    """What one pass over the documents finds of some portions."""
+    every = {w: i for i, w in enumerate({w for m in models for w in m.vocabulary}, 1)}
+    maps = []
+    for m in models:
+        to = np.zeros(len(every) + 1, dtype=np.int32)
+        for w, i in m.vocabulary.items():
+            to[every[w]] = i
+        maps.append(to)
+    shared = docs.sparkSession.sparkContext.broadcast((every, maps, models))
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, maps, models = shared.value
+
+        def out(keys: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+            rows = []
+            for to, model in zip(maps, models, strict=True):
+                ours = [to[x] for x in texts]
+                at = [i for i, x in enumerate(ours) if x.any()]
+                if at:
+                    rows += [(keys[at[i]], model.ids[item], *rest) for i, item, *rest in search([ours[i] for i in at], model)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                here = _known(words(t.as_py() or ""), every)
+                if not here.any():
+                    continue
+                keys.append(k)
+                texts.append(here)
+                size += len(here)
+                if size >= WORDS_AT_ONCE:
+                    yield out(keys, texts)
+                    keys, texts, size = [], [], 0
+        if texts:
+            yield out(keys, texts)
+        release()
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, FOUND)
 
-            def out(keys: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-                rows = [(keys[text], model.ids[item], *rest) for text, item, *rest in search(texts, model)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
-            keys, texts, size = [], [], 0
-            for batch in batches:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    here = _known(t.as_py(), model.vocabulary)
-                    if not here.any():
-                        continue
-                    keys.append(k)
-                    texts.append(here)
-                    size += len(here)
-                    if size >= WORDS_AT_ONCE:
-                        yield out(keys, texts)
-                        keys, texts, size = [], [], 0
-            if texts:
-                yield out(keys, texts)
-            release()
-
-        part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, FOUND)
-        out = out.union(part)
-    return out
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """One row for each benchmark item found in a document: its best place."""
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    n, counts = frequencies(docs, benchmark, text, item_text)
+    models: list[Model] = []
+    for some in portions(benchmark, item_text, item_key):
+        models.append(fit(some, n, counts))
+        if len(models) == ROUND:
+            out = out.union(_searched(docs, models, text, key))
+            models = []
+    if models:
+        out = out.union(_searched(docs, models, text, key))
+    # a few rows: one for each portion that has passages of the item
+    best = F.max(F.struct("covered", "cosine", (-F.col("first_word")).alias("first"), "last_word")).alias("best")
+    found = out.groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "best.covered", (-F.col("best.first")).alias("first_word"), "best.last_word", "best.cosine")
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
     gone = cut(find(docs, benchmark).filter("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)
