@@ -1,12 +1,14 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features.
 
 Native: features, rules and the trees' scores are Spark SQL expressions. The trees are fitted on a bounded sample of
-labelled urls (``SAMPLE`` of each class, those with the smallest hash) and compiled into one expression, so judging
-takes no shuffle and no user function. Statistics of a suffix come from the same labelled urls.
+labelled urls (``SAMPLE`` of each class, those with the smallest hash) and compiled into one expression. Statistics of
+a suffix are counted over all labelled urls, each different one once, and joined back: broadcast if they are few.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of the
-model for its features (of the empty url if null); repeated rows are judged one by one; without labelled urls of both
-classes every url that no rule fits is allowed; an empty table gives an empty result; other columns are left out.
+model for its features (of the empty url if null); very long urls are read whole; repeated rows are judged one by one
+and count once for the model; of rules that fit the longest wins; a score of exactly one half blocks; without labelled
+urls of both classes every url that no rule fits is allowed; an empty table gives an empty result; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import ascii_lower, let
+from ebbline.llm.common import ascii_lower, cut, let, maybe_broadcast
 
 #: Host, path prefix, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -26,8 +28,8 @@ UNWANTED = ("casino", "pills", "bets", "spam", "ads", "poker", "porn", "viagra",
 #: Labelled urls of each class that the trees are fitted on at most.
 SAMPLE = 4096
 ROUNDS, DEPTH, RATE, LEAF, CUTS = 24, 3, 0.3, 8, 16
-#: Labelled urls that a suffix needs for a statistic of its own.
-SUFFIX_LEAST = 20
+#: Urls of the overall rate that smooth each suffix's own.
+SMOOTHING = 10
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "hyphens", "longest_label", "digit_ratio", "entropy", "host_entropy", "parameters", "fragment", "secure", "suffix_rate")
 
@@ -95,19 +97,12 @@ def weak_label(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """suffixes: share of unwanted urls of each suffix, smoothed; trees: nested (feature, cut, left, right) or a leaf's value."""
+    """rate: share of unwanted urls, also of an unknown suffix; trees: nested (feature, cut, left, right) or a leaf's value."""
 
     prior: float = -5.0
     rate: float = 0.0
-    suffixes: tuple[tuple[str, float], ...] = ()
     trees: tuple = ()
 
-    def suffix_rate(self) -> Column:
-        found = F.lit(self.rate)
-        for suffix, rate in self.suffixes:
-            found = F.when(F.col("__suffix") == suffix, rate).otherwise(found)
-        return found
-
     def score(self) -> Column:
         """Probability that a url is unwanted."""
 
@@ -151,31 +146,43 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, FEATURES.index(name)] <= cut, _apply(left, x), _apply(right, x))
 
 
+def suffix_rates(labelled: DataFrame) -> DataFrame:
+    """__of and suffix_rate: the smoothed share of unwanted urls of each suffix, over all different labelled urls."""
+    counts = labelled.groupBy("__suffix", "label", F.xxhash64("__url")).agg(F.lit(1)).groupBy("__suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    counts = cut(counts)
+    rate = overall_rate(counts)
+    return counts.select(F.col("__suffix").alias("__of"), ((F.col("bad") + SMOOTHING * rate) / (F.col("n") + SMOOTHING)).alias("suffix_rate"))
+
+
+def overall_rate(counts: DataFrame) -> float:
+    """The share of unwanted urls over all suffixes."""
+    return counts.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0))).first()[0]
+
+
+def with_rates(made: DataFrame, rates: DataFrame, size: int, rate: float) -> DataFrame:
+    """features() and suffix_rate."""
+    joined = made.join(maybe_broadcast(rates, size), F.col("__suffix") == F.col("__of"), "left")
+    return joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).drop("__of")
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: features() and label (0 or 1). The sample of each class is its urls with the smallest hash.
+    """labelled: features(), suffix_rate and label (0 or 1). The sample of each class is its urls with the smallest hash.
 
     Only urls below a hash that leaves about twice the sample of different urls are sorted, each once: what tasks send
     doesn't grow with their number, and how often they are repeated changes nothing."""
-    names = FEATURES[:-1]
     rows = []
-    hashed = labelled.select("label", F.xxhash64("__url").alias("__h"), "__url", "__suffix", *names)
+    hashed = labelled.select("label", F.xxhash64("__url").alias("__h"), "__url", *FEATURES)
     # the estimate may be wrong by half before the sample is
     counts = dict(hashed.groupBy("label").agg(F.approx_count_distinct("__h", 0.02)).collect())
     for label in (0, 1):
         share = min(1.0, 2 * sample / max(1, counts.get(label, 0)))
         few = hashed.filter((F.col("label") == label) & (F.col("__h") / 2.0**64 + 0.5 <= share)).dropDuplicates(["__url"])
-        rows += [(label, r["__suffix"], [r[n] for n in names]) for r in few.orderBy("__h", "__url").limit(sample).collect()]
+        rows += [(label, [r[n] for n in FEATURES]) for r in few.orderBy("__h", "__url").limit(sample).collect()]
     y = np.array([r[0] for r in rows], dtype=float)
     if len(set(y)) < 2:
         return Model()
-    counts: dict[str, list[float]] = {}
-    for label, suffix, _ in rows:
-        n = counts.setdefault(suffix, [0.0, 0.0])
-        n[0] += 1
-        n[1] += label
     rate = float(y.mean())
-    suffixes = {s: (k + 10 * rate) / (n + 10) for s, (n, k) in sorted(counts.items()) if n >= SUFFIX_LEAST}
-    x = np.array([[*r[2], suffixes.get(r[1], rate)] for r in rows])
+    x = np.array([r[1] for r in rows])
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 1)[1:-1])) for j in range(x.shape[1])]
     prior = float(np.log(rate / (1 - rate)))
     total, trees = np.full(len(y), prior), []
@@ -184,14 +191,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         tree = _grow(x, y - p, p * (1 - p), cuts, DEPTH)
         trees.append(tree)
         total += _apply(tree, x)
-    return Model(prior, rate, tuple(suffixes.items()), tuple(trees))
+    return Model(prior, rate, tuple(trees))
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame, int]:
+    """The model of features() with label, its suffix rates, and how many suffixes they have."""
+    rates = cut(suffix_rates(labelled))
+    size = rates.count()
+    return fit(with_rates(labelled, rates, size, 0.0), sample), rates, size
 
 
-def judge(pages: DataFrame, model: Model | None = None, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Per page host, path, rule, verdict and the model's score. Without a model, one is fitted on weakly labelled urls."""
+def judge(pages: DataFrame, learnt: tuple[Model, DataFrame, int] | None = None, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Per page host, path, rule, verdict and the model's score. Without something learnt, weakly labelled urls of the same pages are learnt from."""
     made = features(pages, url, keep)
-    if model is None:
-        model = fit(made.withColumn("label", weak_label(F.col("host"))))
-    scored = made.withColumn("suffix_rate", model.suffix_rate()).withColumn("score", model.score())
+    model, rates, size = learnt or learn(made.withColumn("label", weak_label(F.col("host"))))
+    scored = with_rates(made, rates, size, model.rate).withColumn("score", model.score())
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select(*keep, "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
