@@ -4,7 +4,9 @@ Native: regular expressions and higher-order functions of Spark SQL only; no shu
 regexp_extract_all, their places from the lengths of the pieces that split() leaves between them.
 
 Defined results: a null text counts as the empty one (no spans, the hash of the empty string); a null id stays null;
-repeated rows are searched one by one; an empty table gives an empty result; other columns are left out.
+repeated rows are searched one by one; very long texts are searched whole; spans of equal start are ordered by kind; an
+empty table gives an empty result; other columns, whatever their names, are left out by ``digest`` and kept by
+``redact``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import let
+from ebbline.llm.common import let, plain
 
 #: One part of an address, leading zeros allowed, at most 255.
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -153,14 +155,37 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _replaced(text: Column, kind: Kind) -> Column:
-    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))), lambda m: valid(kind.name, m))
-    return F.aggregate(found, text, lambda t, m: F.replace(t, m, F.lit(f"<{kind.name.upper()}>")))
+def furthest(ends: Column, block: int = 1024) -> Column:
+    """The largest value up to each element, by blocks as in ``before``."""
+    start = F.struct(F.lit(0).cast("long").alias("top"), F.array().cast("array<bigint>").alias("all"))
+    step = lambda a, x: let(F.greatest(a["top"], x), lambda m: F.struct(m.alias("top"), F.array_append(a["all"], m).alias("all")))
+    cuts = F.transform(F.sequence(F.lit(0), ((F.size(ends) - 1) / block).cast("int")), lambda b: F.slice(ends, b * block + 1, block))
+    tops = F.transform(cuts, lambda c: F.aggregate(c, start, step))
+    earlier = lambda t: F.aggregate(t, start, lambda a, x: F.struct(F.greatest(a["top"], x["top"]).alias("top"), F.array_append(a["all"], a["top"]).alias("all")), lambda a: a["all"])
+    return let(tops, lambda t: F.flatten(F.zip_with(t, earlier(t), lambda x, o: F.transform(x["all"], lambda v: F.greatest(v, o)))))
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with each span replaced by <KIND>; a span that begins inside earlier ones is covered with them and has no mark of its own."""
+    names = F.array(*(F.lit(f"<{k.name.upper()}>") for k in KINDS))
+
+    def cut_at(s: Column, tops: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            done = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(tops, i - 1))
+            kept = F.substr(text, (done + 1).cast("int"), (x["start"] - done).cast("int"))
+            return F.when(x["start"] >= done, F.concat(kept, F.get(names, x["rank"]))).otherwise("")
+
+        tail = F.substr(text, (F.array_max(tops) + 1).cast("int"))
+        return F.concat(F.array_join(F.transform(s, piece), ""), tail)
+
+    ordered = F.sort_array(spans)
+    body = let(ordered, lambda s: let(furthest(F.transform(s, lambda x: x["end"])), lambda tops: cut_at(s, tops)))
+    return F.when(F.size(spans) == 0, text).otherwise(body)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with every pattern's checked matches of the base kinds replaced by <KIND>; other columns stay."""
-    out = F.coalesce(F.col(text), F.lit(""))
-    for k in KINDS:
-        out = _replaced(out, k)
-    return docs.withColumn(text, out)
+    """The documents with the spans of ``find``, of every kind, replaced by <KIND>; other columns stay."""
+    rows, names, (at,) = plain(docs, text)
+    full = F.coalesce(F.col(at), F.lit(""))
+    spans = F.concat(*(_spans(k, i, full) for i, k in enumerate(KINDS)))
+    return rows.withColumn(at, redacted(full, spans)).toDF(*names)

@@ -3,8 +3,8 @@
 Native: split, higher-order functions and regular expressions of Spark SQL only; no shuffle.
 
 Defined results: a null text counts as the empty one (all measures 0, base_failed); a null id stays null; repeated
-rows are judged one by one; an empty table gives an empty result; other columns are left out by judge()
-and kept by keep_good(), whatever their names.
+rows are judged one by one; very long texts are measured whole; a measure exactly at a bound passes; an empty table
+gives an empty result; other columns are left out by judge() and kept by keep_good(), whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import BLANK_RUN, blank_words, let
+from ebbline.llm.common import BLANK_RUN, blank_words, let, plain
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -142,10 +142,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     A row passes through a generator that gives one row or none: a filter on the verdict would be pushed below the
     projections, and every measure copied into it again and again."""
-    names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("text").alias("__in"))
+    rows, names, (at,) = plain(docs, "text")
+    packed = rows.select(F.struct(*rows.columns).alias("__row"), F.col(at).alias("__in"))
     judged = judge(packed, "__in", ("__row",), rules).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__out"))
-    return judged.filter("__out IS NOT NULL").select(*(F.col("__out").getField(c).alias(c) for c in names))
+    return judged.filter("__out IS NOT NULL").select(*(F.col("__out").getField(f"c{i}") for i in range(len(names)))).toDF(*names)
 
 
 #: The same verdict in DuckDB SQL.

@@ -1,6 +1,8 @@
 """Quality rules, personal data, license scans and url filters against brute force."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -117,6 +119,23 @@ def test_pii_many_matches(spark):
     assert {k: row[k] for k in want} == want
 
 
+def test_pii_redacts_spans_and_nothing_else(spark):
+    text = "host 1.2.3.4 and 11.2.3.45; call +1 1.2.3.4 5555 6666 é x@y.zz,x@y.zz 256.1.1.1"
+    df = spark.createDataFrame([(1, text, 9)], "doc_id long, text string, `a.b` int")
+    row = pii.redact(df).first()
+    spans = sorted(tuple(map(int, s.split(":")[1:])) + (s.split(":")[0],) for s in pii.digest(df).first().spans.split(","))
+    out, done = "", 0
+    for start, end, kind in spans:
+        if start >= done:
+            out += text[done:start] + f"<{kind.upper()}>"
+        done = max(done, end)
+    assert row.text == out + text[done:] and row["a.b"] == 9
+    assert out.startswith("host <IP> and <IP>; call <PHONE>")
+    many = " ".join(f"u{i}@h{i}.org" for i in range(3000))
+    assert pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().text == " ".join(["<EMAIL>"] * 3000)
+    assert pii.digest(df.limit(0)).count() == pii.redact(df.limit(0)).count() == quality.judge(df.limit(0)).count() == 0
+
+
 def test_pii_redacts(spark):
     df = spark.createDataFrame([(1, "a@b.co é 4539148803436467 x", 5), (2, None, 6)], "doc_id long, text string, z int")
     out = {r.doc_id: r.text for r in pii.redact(df).collect()}
@@ -155,6 +174,28 @@ def test_licenses_equal_brute_force(docs):
     assert licenses.digest(docs.limit(0)).count() == 0
 
 
+def test_license_postings_are_intersected(spark):
+    df = {"gnu": 5, "general": 50, "public": 60, "license": 80, "cc": 3, "by": 95, "mit": 2}
+    some = (licenses.TEMPLATES[0], licenses.TEMPLATES[2], licenses.TEMPLATES[3])
+    # the rarest words first; a common one has a posting only where it is a template's rarest
+    assert licenses.index(some, df, 400) == [[("gnu", 0), ("general", 1), ("public", 2)], [("cc", 0)], [("mit", 0), ("license", 1)]]
+    rng = random.Random(8)
+    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.key_words}) + ["x", "y"]
+    texts = []
+    for _ in range(200):
+        some = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 4)):
+            t = rng.choice(licenses.TEMPLATES)
+            at = rng.randint(0, len(some))
+            some[at:at] = t.key_words[: rng.choice([len(t.key_words), len(t.key_words) - 1, len(t.key_words)])]
+        texts.append(" ".join(some))
+    texts.append(" ".join(vocabulary) + " mit license" * 20_000)  # very long
+    found = _by_id(licenses.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        want = _licenses(text)
+        assert {k: found[i][0][k] for k in want} == want, text
+
+
 URLS = [
     None, "", "no scheme", "http://A.Example.NET/en/1?x=1#y", "https://example.com/de/x", "http://xexample.com/de/", "ftp://sub.org/fr/", "http://org/fr/é",
     "http://foo.net", "http://foo.net/", "a://b://c/d", "http://h.com?q=/de/", "HTTP://example.com#/de/", "http://example.net/EN/", "x\n://y.net/\nz",
@@ -186,11 +227,42 @@ def test_url_model_on_held_out_urls(spark):
     bad = [f"http://{a}-{b}-{i}{i}.com/x?p={i}&ref=q" for i in range(4) for a in ("cheap", "free", "best") for b in ("casino", "pills", "loans", "bets")]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "page_id long, url string")
     made = urls.features(df).withColumn("label", urls.weak_label(F.col("host")))
-    model = urls.fit(made.filter("page_id % 2 = 0"))
-    held = urls.judge(df.filter("page_id % 2 = 1"), model).collect()
+    learnt = urls.learn(made.filter("page_id % 2 = 0"))
+    held = urls.judge(df.filter("page_id % 2 = 1"), learnt).collect()
     right = sum((r.verdict == "block") == (r.page_id >= len(good)) for r in held)
     assert right / len(held) >= 0.9
-    assert model == urls.fit(made.filter("page_id % 2 = 0").repartition(5))
+    model, rates, size = learnt
+    assert model == urls.learn(made.filter("page_id % 2 = 0").repartition(5))[0]
+    # verdicts and scores against a plain evaluation of the trees
+    known = {r["__of"]: r.suffix_rate for r in rates.collect()}
+    assert size == len(known)
+
+    def value(node, x):
+        while not isinstance(node, float):
+            name, cut, left, right = node
+            node = left if x[name] <= cut else right
+        return node
+
+    rows = {r.page_id: r.asDict() for r in made.collect()}
+    for r in held:
+        x = rows[r.page_id]
+        x["suffix_rate"] = known.get(x["__suffix"], model.rate)
+        score = 1 / (1 + math.exp(-(model.prior + sum(value(t, x) for t in model.trees))))
+        assert r.score == pytest.approx(score) and (r.verdict == "block") == (score >= 0.5)
+
+
+def test_suffix_rates_count_every_different_url(spark):
+    rows = [f"http://a{i}.{'bad' if i % 3 else 'ok'}/x" for i in range(300)] + [f"http://casino-{i}.bad/x" for i in range(100)] + ["http://casino-1.bad/x"] * 50 + ["http://one.rare/"]
+    made = urls.features(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).withColumn("label", urls.weak_label(F.col("host")))
+    got = {r["__of"]: r.suffix_rate for r in urls.suffix_rates(made).collect()}
+    rate = 100 / 401
+    assert got == pytest.approx({"bad": (100 + 10 * rate) / 310, "ok": 10 * rate / 110, "rare": 10 * rate / 11})
+
+
+def test_very_long_urls(spark):
+    url = "http://h.net/" + "a/" * 20_000 + "?" + "x=1&" * 5_000
+    row = urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (row.host, row.path, row.rule, row.verdict) == ("h.net", "/" + "a/" * 20_000, "net/", "block")
 
 
 def test_repeated_urls_change_no_model(spark):
@@ -198,5 +270,5 @@ def test_repeated_urls_change_no_model(spark):
     bad = [f"http://cheap-casino-{i}{i}.com/x?p={i}&ref=q" for i in range(60)]
     made = urls.features(spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")).withColumn("label", urls.weak_label(F.col("host")))
     often = made.join(spark.range(200).select(F.lit(1)), how="cross")
-    model = urls.fit(made, 64)
-    assert model.trees and urls.fit(often, 64) == model
+    model = urls.learn(made, 64)[0]
+    assert model.trees and urls.learn(often, 64)[0] == model
