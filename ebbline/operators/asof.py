@@ -32,13 +32,18 @@ def backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts
     return found.select("row.*", hit["t"].alias("as_of_ts"), hit["v"].alias(f"as_of_{value}"))
 
 
-def forward_common(signals: DataFrame, first: DataFrame, second: DataFrame, ts: str = "ts_ms", open_time: str = "open_time") -> DataFrame:
-    """Each signal with the first open strictly after it that both series have."""
+def forward_common(signals: DataFrame, first: DataFrame, second: DataFrame, ts: str = "ts_ms", open_time: str = "open_time", span: int = 86_400_000) -> DataFrame:
+    """Each signal with the first open strictly after it that both series have. Buckets and what they carry are as in ``backward``, the other way."""
     common = first.select("symbol", open_time).join(second.select("symbol", open_time), ["symbol", open_time])
     a = signals.select("symbol", F.col(ts).alias("t"), F.col("id"), F.lit(None).cast("long").alias("open"), F.lit(1).alias("side"))
     b = common.select("symbol", F.col(open_time).alias("t"), F.lit(None).cast("long").alias("id"), F.col(open_time).alias("open"), F.lit(0).alias("side"))
-    ahead = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(1, Window.unboundedFollowing)
-    return a.unionByName(b).withColumn("next_open", F.first("open", ignorenulls=True).over(ahead)).filter("side = 1").select("symbol", "id", F.col("t").alias(ts), "next_open")
+    rows = a.unionByName(b).withColumn("bin", bucket(F.col("t"), span))
+    inside = Window.partitionBy("symbol", "bin").orderBy("t", "side").rowsBetween(1, Window.unboundedFollowing)
+    local = rows.withColumn("near", F.first("open", ignorenulls=True).over(inside)).filter("side = 1")
+    bins = rows.groupBy("symbol", "bin").agg(F.min("open").alias("earliest"))
+    later = Window.partitionBy("symbol").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    carried = bins.select("symbol", "bin", F.first("earliest", ignorenulls=True).over(later).alias("after"))
+    return local.join(carried, ["symbol", "bin"]).select("symbol", "id", F.col("t").alias(ts), F.coalesce("near", "after").alias("next_open"))
 
 
 def next_slot(events: DataFrame, bars: DataFrame, step: int, ts: str = "ts_ms") -> DataFrame:

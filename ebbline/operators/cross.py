@@ -28,12 +28,16 @@ def leaders(rows: DataFrame, score: str, largest: bool = True) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, value: str = "value") -> DataFrame:
-    """rows with the median of all other members: picked from the sorted section after skipping the own place."""
-    ranked = rows.withColumn("__i", F.row_number().over(section().orderBy(value, "symbol")) - 1).withColumn("__all", F.array_sort(F.collect_list(value).over(section())))
-    n = F.size("__all") - 1
-    other = lambda k: F.get("__all", F.when(k >= F.col("__i"), k + 1).otherwise(k))
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return ranked.withColumn("others_median", F.when(n > 0, (other(low) + other(high)) / 2)).drop("__i", "__all")
+    """rows with the median of all other members: of the section's order only the three values around its middle can be one."""
+    placed = rows.withColumn("__i", F.row_number().over(section().orderBy(value, "symbol")) - 1).withColumn("__n", F.count("*").over(section()) - 1)
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    at = lambda k: F.max(F.when(F.col("__i") == low + k, F.col(value))).over(section())
+    held = placed.withColumn("__mid", F.struct(at(0).alias("a"), at(1).alias("b"), at(2).alias("c")))
+    # a member at or before a place moves that place by one
+    first = F.when(F.col("__i") <= low, F.col("__mid.b")).otherwise(F.col("__mid.a"))
+    later = F.when(F.col("__i") <= high, F.col("__mid.c")).otherwise(F.col("__mid.b"))
+    second = F.when(high == low, first).otherwise(later)
+    return held.withColumn("others_median", F.when(F.col("__n") > 0, (first + second) / 2)).drop("__i", "__n", "__mid")
 
 
 def breadth(rows: DataFrame, value: str = "value") -> DataFrame:

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def connected(events: DataFrame, gap: int, ts: str = "ts_ms", key: str | None = "symbol") -> DataFrame:
-    """Episodes: a new one starts only more than gap after the previous event, so chains stay together. One row each: first, last, events."""
+def connected(events: DataFrame, gap: int, ts: str = "ts_ms", key: str | None = "symbol", span: int = 86_400_000) -> DataFrame:
+    """Episodes: a new one starts only more than gap after the previous event, so chains stay together. One row each: first, last, events, first_id.
+
+    Events are chained inside bins of the span. What goes from bin to bin is one row a bin: whether its first event goes on with the episode that was open before, and which one that is."""
     parts = [key] if key else []
-    w = Window.partitionBy(*parts).orderBy(ts, "id")
-    new = F.coalesce(F.col(ts) - F.lag(ts).over(w) > gap, F.lit(True))
-    numbered = events.withColumn("episode", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*parts, "episode").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("events"), F.min_by("id", F.struct(ts, "id")).alias("first_id"))
+    rows = events.withColumn("__bin", F.floor(F.col(ts) / span))
+    w = Window.partitionBy(*parts, "__bin").orderBy(ts, "id")
+    breaks = F.coalesce(F.col(ts) - F.lag(ts).over(w) > gap, F.lit(False)).cast("int")
+    numbered = rows.withColumn("__break", breaks).withColumn("__n", F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy(*parts, "__bin", "__n").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("events"), F.min(F.struct(ts, "id")).alias("start"))
+    bins = pieces.groupBy(*parts, "__bin").agg(F.min("first").alias("__first"), F.max("last").alias("__last"), F.max("__n").alias("__k"))
+    in_order = Window.partitionBy(*parts).orderBy("__bin")
+    bins = bins.withColumn("__fresh", F.coalesce(F.col("__first") - F.lag("__last").over(in_order) > gap, F.lit(True)))
+    bins = bins.withColumn("__open", F.when(F.col("__fresh") | (F.col("__k") > 0), F.struct(F.col("__bin").alias("bin"), F.col("__k").alias("n"))))
+    bins = bins.withColumn("__before", F.last("__open", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.struct(F.col("__bin").alias("bin"), F.col("__n").alias("n"))
+    named = pieces.join(bins.select(*parts, "__bin", "__fresh", "__before"), [*parts, "__bin"])
+    named = named.withColumn("__episode", F.when((F.col("__n") > 0) | F.col("__fresh"), own).otherwise(F.col("__before")))
+    out = named.groupBy(*parts, "__episode").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"), F.min("start").alias("start"))
+    return out.select(*parts, "first", "last", "events", F.col("start.id").alias("first_id"))
 
 
 def sessions(events: DataFrame, gap: int, ts: str = "ts_ms") -> DataFrame:
@@ -23,11 +40,25 @@ def sessions(events: DataFrame, gap: int, ts: str = "ts_ms") -> DataFrame:
 
 
 def spaced(events: DataFrame, gap: int, ts: str = "ts_ms") -> DataFrame:
-    """Greedy spacing: an event counts only more than gap after the last one that counted. A symbol's times are folded in order, as one array of longs."""
-    times = events.groupBy("symbol").agg(F.array_sort(F.collect_set(ts)).alias("times"))
-    start = F.array().cast("array<bigint>")
-    step = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)) > gap), F.array_append(kept, t)).otherwise(kept)
-    return times.select("symbol", F.explode(F.aggregate("times", start, step)).alias(ts))
+    """Greedy spacing: an event counts only more than gap after the last one that counted. A task goes through a symbol's sorted times batch by batch and holds only the last that counted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, last = object(), None
+        for batch in batches:
+            kept = []
+            for name, group in batch.groupby("symbol", sort=False, dropna=False):
+                same = name == symbol or (name != name and symbol is None)
+                times, symbol = group[ts].to_numpy(), None if name != name else name
+                last = last if same else None
+                at = 0 if last is None else int(np.searchsorted(times, last + gap, side="right"))
+                while at < len(times):
+                    last = int(times[at])
+                    kept.append((symbol, last))
+                    at = int(np.searchsorted(times, last + gap, side="right"))
+            yield pd.DataFrame(kept, columns=["symbol", ts])
+
+    ordered = events.select("symbol", ts).repartition("symbol").sortWithinPartitions("symbol", ts)
+    return ordered.mapInPandas(run, ordered.schema)
 
 
 def merged(intervals: DataFrame, start: str = "open_ms", end: str = "close_ms", key: str = "pair") -> DataFrame:

@@ -57,31 +57,35 @@ def trend_features(bars: DataFrame, slow: int, fast: int, entry: int, exit_: int
     return made.withColumn("enters", enters).withColumn("exits", exits)
 
 
-def mean_before(points: DataFrame, value: str, span: int, ts: str = "ts_ms") -> Column:
-    """Mean over (t - span, t] in milliseconds."""
-    return F.avg(value).over(Window.partitionBy("symbol").orderBy(ts).rangeBetween(-span + 1, 0))
+def _dealt(points: DataFrame, span: int, ts: str) -> DataFrame:
+    """points dealt to bins as long as the span, with own; each also to the next bin, which only looks back at it (not own). A frame of the span then never leaves a bin, and no task holds a symbol's whole history."""
+    at = F.floor(F.col(ts) / span)
+    return points.withColumn("__at", F.explode(F.array(F.struct(at.alias("bin"), F.lit(True).alias("own")), F.struct((at + 1).alias("bin"), F.lit(False).alias("own")))))
+
+
+def with_mean_before(points: DataFrame, value: str, span: int, name: str, ts: str = "ts_ms") -> DataFrame:
+    """points with the mean over (t - span, t] in milliseconds."""
+    frame = Window.partitionBy("symbol", "__at.bin").orderBy(ts).rangeBetween(-span + 1, 0)
+    return _dealt(points, span, ts).withColumn(name, F.avg(value).over(frame)).filter("__at.own").drop("__at")
 
 
 def most_in_window(points: DataFrame, span: int, closed: bool, ts: str = "ts_ms") -> DataFrame:
     """Largest number of events in a rolling window: half-open (an event exactly span ago is out) or closed."""
-    frame = Window.partitionBy("symbol").orderBy(ts).rangeBetween(-span if closed else -(span - 1), 0)
-    return points.withColumn("n", F.count("*").over(frame)).groupBy("symbol").agg(F.max("n").alias("most"))
+    frame = Window.partitionBy("symbol", "__at.bin").orderBy(ts).rangeBetween(-span if closed else -(span - 1), 0)
+    counted = _dealt(points.select("symbol", ts), span, ts).withColumn("n", F.count("*").over(frame))
+    return counted.filter("__at.own").groupBy("symbol").agg(F.max("n").alias("most"))
 
 
 def prior_days_percentile(points: DataFrame, value: str, days: int, p: float, ts: str = "ts_ms", least_days: int | None = None) -> DataFrame:
-    """Points with the percentile of the values of the previous complete days (their own day excluded), if all of those days have one."""
-    day = F.floor(F.col(ts) / 86_400_000).cast("long")
-    rows = points.withColumn("day", day)
-    by_day = rows.groupBy("symbol", "day").agg(F.collect_list(value).alias("values"))
+    """Points with the percentile of the values of the previous complete days (their own day excluded), if all of those days have one.
+
+    Values go to the days that they feed and are counted there by value before the shuffle; only days are put in order."""
+    rows = points.withColumn("day", F.floor(F.col(ts) / 86_400_000).cast("long"))
     frame = Window.partitionBy("symbol").orderBy("day").rangeBetween(-days, -1)
-    held = by_day.select("symbol", "day", F.flatten(F.collect_list("values").over(frame)).alias("prior"), F.count("*").over(frame).alias("have"))
-    ranked = F.array_sort("prior")
-    at = (F.size("prior") - 1) * p
-    low = F.floor(at).cast("int")
-    value_at = lambda i: F.get(ranked, i)
-    between = value_at(low) + (at - low) * (F.coalesce(value_at(low + 1), value_at(low)) - value_at(low))
-    cut = held.select("symbol", "day", F.when(F.col("have") == (least_days or days), between).alias("threshold"))
-    return rows.join(cut, ["symbol", "day"], "left")
+    known = rows.select("symbol", "day").distinct().withColumn("have", F.count("*").over(frame)).filter(F.col("have") == (least_days or days))
+    fed = rows.select("symbol", F.explode(F.sequence(F.col("day") + 1, F.col("day") + days)).alias("day"), value)
+    cut = fed.groupBy("symbol", "day").agg(F.percentile(value, F.lit(p)).alias("threshold"))
+    return rows.join(known.select("symbol", "day").join(cut, ["symbol", "day"]), ["symbol", "day"], "left")
 
 
 def corwin_schultz(bars: DataFrame, step: int) -> DataFrame:

@@ -321,7 +321,9 @@ def max_concurrency(spark, d):
 
 
 def sleep_periods(spark, d):
-    return episodes.sleep_periods(trades(spark, d).filter("trade_id % 50 = 0"))
+    """Gaps between the trades of each customer."""
+    owners = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trade_id"), F.col("o_custkey").alias("pair"))
+    return episodes.sleep_periods(trades(spark, d).drop("pair").join(owners, "trade_id"))
 
 
 def realised_equity_daily(spark, d):
@@ -577,10 +579,10 @@ SELECT trade_id, round(a, 6) AS spot_pnl, round(b, 6) AS perp_pnl, round(f, 6) A
 f AS (SELECT symbol, day_ms, close, CASE WHEN n >= 14 THEN avg(tr) OVER w END AS atr, CASE WHEN count(ret) OVER w = 14 THEN stddev_pop(ret) OVER w * sqrt(365.0) END AS vol FROM t WINDOW w AS (PARTITION BY symbol ORDER BY day_ms ROWS 13 PRECEDING))
 SELECT symbol, day_ms, round(greatest(0, least(10000 * 0.01 / (2 * atr), 10000 * 0.2 / (vol * close), 8000 / (close * 1.0015))), 6) AS quantity FROM f WHERE atr IS NOT NULL AND vol > 0""",
     ),
-    "occupancy_union": (occupancy_union, f"WITH {TRADES}, t0 AS (SELECT * FROM trades), {BLOCKS} SELECT * FROM u"),
-    "occupancy_summary": (occupancy_summary, f"WITH {TRADES}, t0 AS (SELECT * FROM trades), {BLOCKS}, n AS (SELECT *, lead(start) OVER (PARTITION BY pair ORDER BY start) - \"end\" AS gap FROM u) SELECT pair, CAST(sum(\"end\" - start) AS BIGINT) AS occupied, count(*) AS blocks, coalesce(max(gap), 0) AS longest_gap FROM n GROUP BY 1"),
+    "occupancy_union": (occupancy_union, f"WITH {TRADES}, t0 AS (SELECT trades.* REPLACE (o_custkey AS pair) FROM trades JOIN orders ON trade_id = o_orderkey), {BLOCKS} SELECT * FROM u"),
+    "occupancy_summary": (occupancy_summary, f"WITH {TRADES}, t0 AS (SELECT trades.* REPLACE (o_custkey AS pair) FROM trades JOIN orders ON trade_id = o_orderkey), {BLOCKS}, n AS (SELECT *, lead(start) OVER (PARTITION BY pair ORDER BY start) - \"end\" AS gap FROM u) SELECT pair, CAST(sum(\"end\" - start) AS BIGINT) AS occupied, count(*) AS blocks, coalesce(max(gap), 0) AS longest_gap FROM n GROUP BY 1"),
     "max_concurrency": (max_concurrency, f"WITH {TRADES}, e AS (SELECT pair, open_ms AS t, 1 AS d FROM trades UNION ALL SELECT pair, close_ms, -1 FROM trades), n AS (SELECT pair, t, sum(d) AS d FROM e GROUP BY 1, 2), c AS (SELECT pair, sum(d) OVER (PARTITION BY pair ORDER BY t) AS c FROM n) SELECT pair, CAST(max(c) AS BIGINT) AS most FROM c GROUP BY 1"),
-    "sleep_periods": (sleep_periods, f"WITH {TRADES}, t0 AS (SELECT * FROM trades WHERE trade_id % 50 = 0), {BLOCKS}, n AS (SELECT pair, \"end\" AS sleeps, lead(start) OVER (PARTITION BY pair ORDER BY start) AS wakes FROM u) SELECT *, wakes - sleeps AS duration FROM n WHERE wakes > sleeps"),
+    "sleep_periods": (sleep_periods, f"WITH {TRADES}, t0 AS (SELECT trades.* REPLACE (o_custkey AS pair) FROM trades JOIN orders ON trade_id = o_orderkey), {BLOCKS}, n AS (SELECT pair, \"end\" AS sleeps, lead(start) OVER (PARTITION BY pair ORDER BY start) AS wakes FROM u) SELECT *, wakes - sleeps AS duration FROM n WHERE wakes > sleeps"),
     "realised_equity_daily": (realised_equity_daily, f"WITH {EQ} SELECT pair, day, round(pnl, 6) AS pnl, round(10000.0 + gain, 6) AS equity FROM eq"),
     "mtm_equity_daily": (
         mtm_equity_daily,

@@ -83,7 +83,7 @@ def path_prefix(spark, d):
 
 def entry_cooldown(spark, d):
     t = trades(spark, d)
-    return registry.cooldown(t.filter("trade_id % 7 = 0").select("trade_id", "open_ms"), t.filter("trade_id % 40 = 0").select("close_ms"), 2 * DAY)
+    return registry.cooldown(t.select("trade_id", "open_ms"), t.filter("pnl < -95").select("close_ms"), 2 * DAY)
 
 
 def membership_diff(spark, d):
@@ -105,7 +105,7 @@ def funding_contributions(spark, d):
     """Income of each settlement at the last mark."""
     t, b = ticks(spark, d), bars(spark, d)
     marks = b.select("symbol", (F.col("open_time") + HOUR - 1).alias("t"), "close")
-    points = t.filter("id % 9 = 0").select("symbol", "ts_ms", "id", (F.col("price") / 1e5).alias("rate"))
+    points = t.select("symbol", "ts_ms", "id", (F.col("price") / 1e5).alias("rate"))
     made = asof.backward(points, marks, "symbol", "ts_ms", "t", "close")
     return _r(made.filter("as_of_close IS NOT NULL").select("id", (F.col("as_of_close") * 2.0 * F.col("rate")).alias("income")), "income", places=8)
 
@@ -125,7 +125,7 @@ def synchronized_windows(spark, d):
 
 
 def row_hashes(spark, d):
-    return ticks(spark, d).filter("id % 3 = 0").select("id", row_sha256("symbol", "ts_ms", "id").alias("sha"))
+    return ticks(spark, d).select("id", row_sha256("symbol", "ts_ms", "id").alias("sha"))
 
 
 def checksum_lines(spark, d):
@@ -218,7 +218,7 @@ o AS (SELECT symbol, month_index, concat_ws(',', CASE WHEN n = 1 THEN 'first' EN
         f"WITH {R}, n AS (SELECT symbol, day_ms, row_number() OVER (PARTITION BY symbol ORDER BY day_ms) AS n, count(*) OVER (PARTITION BY symbol) AS t FROM panel) SELECT symbol, CASE WHEN n <= greatest(1, least(floor(t * (1 - 0.3::DOUBLE)), t - 1)) THEN 'in_sample' ELSE 'out_of_sample' END AS sample, count(*) AS n, min(day_ms) AS first_ms FROM n GROUP BY 1, 2",
     ),
     "path_prefix": (path_prefix, f"WITH {PATH}, n AS (SELECT symbol, event_ms, slot, row_number() OVER (PARTITION BY symbol, event_ms ORDER BY slot) AS n FROM path) SELECT symbol, event_ms, count(*) FILTER (slot = n) AS prefix, count(*) AS seen FROM n GROUP BY 1, 2"),
-    "entry_cooldown": (entry_cooldown, f"WITH {TRADES} SELECT trade_id, open_ms FROM trades t WHERE trade_id % 7 = 0 AND NOT EXISTS (SELECT 1 FROM trades c WHERE c.trade_id % 40 = 0 AND c.close_ms <= t.open_ms AND c.close_ms > t.open_ms - {2 * DAY})"),
+    "entry_cooldown": (entry_cooldown, f"WITH {TRADES} SELECT trade_id, open_ms FROM trades t WHERE NOT EXISTS (SELECT 1 FROM trades c WHERE c.pnl < -95 AND c.close_ms <= t.open_ms AND c.close_ms > t.open_ms - {2 * DAY})"),
     "membership_diff": (
         membership_diff,
         f"WITH {MEMBERS}, other AS (SELECT month, symbol, row_number() OVER (PARTITION BY month ORDER BY median_volume DESC, symbol) AS k FROM volumes WHERE eligible QUALIFY k <= 7 AND k <> 3) SELECT coalesce(a.month, b.month) AS month, coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'added' ELSE 'removed' END AS change FROM members a FULL JOIN other b ON a.month = b.month AND a.symbol = b.symbol WHERE a.symbol IS NULL OR b.symbol IS NULL",
@@ -227,13 +227,13 @@ o AS (SELECT symbol, month_index, concat_ws(',', CASE WHEN n = 1 THEN 'first' EN
         market_diagnostics,
         f"WITH {B}, m AS (SELECT open_time + {HOUR - 1} AS t, close FROM bars WHERE symbol = 'view'), j AS (SELECT k.price, m.close FROM (SELECT * FROM ticks WHERE symbol = 'click') k ASOF LEFT JOIN m ON k.ts_ms >= m.t) SELECT count(*) AS points, count(*) FILTER (close IS NULL) AS missing, round(avg(abs(price / close - 1)), 5) AS mean_spread, round(max(abs(price / close - 1)), 5) AS max_spread FROM j",
     ),
-    "funding_contributions": (funding_contributions, f"WITH {B}, m AS (SELECT symbol, open_time + {HOUR - 1} AS t, close FROM bars) SELECT id, round(close * 2 * (price / 1e5), 8) AS income FROM (SELECT * FROM ticks WHERE id % 9 = 0) k ASOF JOIN m ON k.symbol = m.symbol AND k.ts_ms >= m.t"),
+    "funding_contributions": (funding_contributions, f"WITH {B}, m AS (SELECT symbol, open_time + {HOUR - 1} AS t, close FROM bars) SELECT id, round(close * 2 * (price / 1e5), 8) AS income FROM ticks k ASOF JOIN m ON k.symbol = m.symbol AND k.ts_ms >= m.t"),
     "crowding_by_bar": (
         crowding_by_bar,
         f"WITH {B}, p AS (SELECT symbol, ts_ms // {DAY} AS day, max(price) AS m FROM ticks GROUP BY 1, 2), r AS (SELECT symbol, day, day - row_number() OVER (PARTITION BY symbol ORDER BY day) AS g FROM p WHERE m > 200), s AS (SELECT symbol, day FROM r QUALIFY row_number() OVER (PARTITION BY symbol, g ORDER BY day) >= 3) SELECT b.symbol, b.open_time // {DAY} AS day, count(*) AS bars, bool_or(s.day IS NOT NULL) AS crowded FROM bars b LEFT JOIN s ON s.symbol = b.symbol AND s.day = b.open_time // {DAY} GROUP BY 1, 2",
     ),
     "synchronized_windows": (synchronized_windows, f"WITH {QUARANTINE} SELECT open_time, count(*) FILTER (NOT valid) AS invalid, count(*) AS active, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (valid), '') AS complement FROM v GROUP BY 1 HAVING count(*) FILTER (NOT valid) >= 2 AND count(*) FILTER (NOT valid) >= 0.8 * count(*)"),
-    "row_hashes": (row_hashes, f"WITH {TICKS} SELECT id, sha256(symbol || chr(31) || ts_ms || chr(31) || id) AS sha FROM ticks WHERE id % 3 = 0"),
+    "row_hashes": (row_hashes, f"WITH {TICKS} SELECT id, sha256(symbol || chr(31) || ts_ms || chr(31) || id) AS sha FROM ticks"),
     "checksum_lines": (checksum_lines, f"WITH {TICKS} SELECT id, CASE WHEN id % 2 = 0 THEN sha256(symbol) END AS sha FROM ticks"),
     "rotation_signals": (
         rotation_signals,

@@ -141,8 +141,10 @@ def settlement_quality(spark, d):
 
 
 def index_insert_or_ignore(spark, d):
-    t = ticks(spark, d).select("symbol", "ts_ms", "id")
-    return dedup.append_new(t.filter("id % 3 = 0"), t.filter("id % 2 = 0"), ["symbol", "ts_ms"]).groupBy("symbol").agg(F.count("*").alias("inserted"))
+    """Users and days of all other ticks, where no error of the same user and day is indexed yet."""
+    t = ticks(spark, d).select("symbol", "user_id", F.floor(F.col("ts_ms") / DAY).cast("long").alias("day"))
+    made = dedup.append_new(t.filter("symbol = 'error'"), t.filter("symbol <> 'error'"), ["user_id", "day"])
+    return made.groupBy("day").agg(F.count("*").alias("inserted"))
 
 
 def source_reconcile_classes(spark, d):
@@ -198,7 +200,7 @@ def trend_entry_candidates(spark, d):
 
 def rolling_mean_time_range(spark, d):
     t = ticks(spark, d)
-    return _r(t.select("symbol", "id", rolling.mean_before(t, "price", 3 * DAY).alias("mean3d")), "mean3d", places=10)
+    return _r(rolling.with_mean_before(t, "price", 3 * DAY, "mean3d").select("symbol", "id", "mean3d"), "mean3d", places=10)
 
 
 def rolling_event_max_half_open(spark, d):
@@ -242,13 +244,13 @@ def asof_backward(spark, d):
 
 def asof_forward_common(spark, d):
     t, b = ticks(spark, d), bars(spark, d)
-    signals = t.filter("symbol IN ('error', 'click') AND id % 7 = 0").select(F.lit("x").alias("symbol"), "id", "ts_ms")
+    signals = t.select(F.lit("x").alias("symbol"), "id", "ts_ms")
     one = lambda s: b.filter(F.col("symbol") == s).select(F.lit("x").alias("symbol"), "open_time")
     return asof.forward_common(signals, one("click"), one("purchase")).select("id", "next_open")
 
 
 def exact_next_slot(spark, d):
-    made = asof.next_slot(ticks(spark, d).filter("id % 5 = 0").select("symbol", "id", "ts_ms"), bars(spark, d), HOUR)
+    made = asof.next_slot(ticks(spark, d).select("symbol", "id", "ts_ms"), bars(spark, d), HOUR)
     return made.select("symbol", "id", "open_time", "reference_open")
 
 
@@ -286,11 +288,11 @@ def crowded_days(spark, d):
 
 
 def episodes_connected(spark, d):
-    return episodes.connected(ticks(spark, d).filter("symbol = 'error'"), HOUR).drop("episode")
+    return episodes.connected(ticks(spark, d).filter("symbol = 'error'"), HOUR)
 
 
 def episodes_market(spark, d):
-    return episodes.connected(ticks(spark, d).filter("price > 150"), HOUR, key=None).drop("episode")
+    return episodes.connected(ticks(spark, d).filter("price > 150"), HOUR, key=None)
 
 
 def episodes_session_window(spark, d):
@@ -374,7 +376,10 @@ SELECT symbol, ts_ms, rows, class, class IN ('single', 'byte_identical') AS coll
         settlement_quality,
         f"WITH {TICKS}, s AS (SELECT symbol, ts_ms - ts_ms % {HOUR} AS slot, count(*) AS n, count(DISTINCT floor(price / 250)) AS d FROM ticks GROUP BY 1, 2) SELECT symbol, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(CASE WHEN d = 1 THEN n - 1 ELSE 0 END) AS BIGINT) AS identical, count(*) FILTER (d > 1) AS conflicts, count(*) FILTER (d = 1) AS kept FROM s GROUP BY 1",
     ),
-    "index_insert_or_ignore": (index_insert_or_ignore, f"WITH {TICKS} SELECT symbol, count(DISTINCT ts_ms) AS inserted FROM ticks t WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ticks o WHERE o.id % 3 = 0 AND o.symbol = t.symbol AND o.ts_ms = t.ts_ms) GROUP BY 1"),
+    "index_insert_or_ignore": (
+        index_insert_or_ignore,
+        f"WITH {TICKS}, k AS (SELECT symbol, user_id, ts_ms // {DAY} AS day FROM ticks) SELECT day, count(DISTINCT user_id) AS inserted FROM k t WHERE symbol <> 'error' AND NOT EXISTS (SELECT 1 FROM k o WHERE o.symbol = 'error' AND o.user_id = t.user_id AND o.day = t.day) GROUP BY 1",
+    ),
     "source_reconcile_classes": (
         source_reconcile_classes,
         f"""WITH {TWO_SOURCES} SELECT symbol, open_time, CASE WHEN r.open IS NULL THEN 'left_only' WHEN l.open IS NULL THEN 'right_only' WHEN l.open = r.open AND l.high = r.high AND l.low = r.low AND l.close = r.close THEN 'exact'
@@ -457,9 +462,9 @@ SELECT symbol, open_time, round(last_score, 6) AS last_score, round(narrow, 6) A
     ),
     "asof_forward_common": (
         asof_forward_common,
-        f"WITH {B}, c AS (SELECT a.open_time FROM bars a JOIN bars b USING (open_time) WHERE a.symbol = 'click' AND b.symbol = 'purchase') SELECT s.id, c.open_time AS next_open FROM (SELECT id, ts_ms FROM ticks WHERE symbol IN ('error', 'click') AND id % 7 = 0) s ASOF LEFT JOIN c ON s.ts_ms < c.open_time",
+        f"WITH {B}, c AS (SELECT a.open_time FROM bars a JOIN bars b USING (open_time) WHERE a.symbol = 'click' AND b.symbol = 'purchase') SELECT s.id, c.open_time AS next_open FROM (SELECT id, ts_ms FROM ticks) s ASOF LEFT JOIN c ON s.ts_ms < c.open_time",
     ),
-    "exact_next_slot": (exact_next_slot, f"WITH {B} SELECT t.symbol, t.id, t.ts_ms - t.ts_ms % {HOUR} + {HOUR} AS open_time, b.open AS reference_open FROM ticks t LEFT JOIN bars b ON b.symbol = t.symbol AND b.open_time = t.ts_ms - t.ts_ms % {HOUR} + {HOUR} WHERE t.id % 5 = 0"),
+    "exact_next_slot": (exact_next_slot, f"WITH {B} SELECT t.symbol, t.id, t.ts_ms - t.ts_ms % {HOUR} + {HOUR} AS open_time, b.open AS reference_open FROM ticks t LEFT JOIN bars b ON b.symbol = t.symbol AND b.open_time = t.ts_ms - t.ts_ms % {HOUR} + {HOUR}"),
     "interval_join_epoch_state": (
         interval_join_epoch_state,
         f"""WITH {panel_sql()}, e AS (SELECT symbol, min(day_ms) AS a, max(day_ms) AS b FROM panel GROUP BY 1)
