@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -151,22 +152,36 @@ def parabolic(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float
     return out
 
 
+@dataclass
+class _Trail:
+    """One side of a trend: a band that only tightens as long as closes stay on its side, and starts anew once one doesn't."""
+
+    side: int  # 1: below the price, -1: above it
+    level: float = 0.0
+
+    def follow(self, band: float, last_close: float) -> float:
+        broken = self.side * (last_close - self.level) < 0
+        self.level = band if broken else max(self.side * band, self.side * self.level) * self.side
+        return self.level
+
+
 def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int, multiple: float) -> tuple[np.ndarray, np.ndarray]:
-    """Trailing band and direction (1 up, -1 down); both are 0 before the range has its n bars."""
-    before = np.concatenate([close[:1], close[:-1]])
-    tr = np.maximum(high - low, np.maximum(abs(high - before), abs(low - before)))
-    atr = pd.Series(tr).rolling(n).mean().to_numpy()
-    upper, lower = (high + low) / 2 + multiple * atr, (high + low) / 2 - multiple * atr
+    """Trailing band and direction (1 up, -1 down); both are 0 before the range has its n bars.
+
+    Two trails follow the price at a multiple of the mean true range, one below and one above. A trend lasts until a
+    close is beyond its own trail; the first one is up if it starts above the upper trail."""
+    last = np.concatenate([close[:1], close[:-1]])
+    reach = np.maximum.reduce([high - low, abs(high - last), abs(low - last)])
+    width = multiple * pd.Series(reach).rolling(n).mean().to_numpy()
+    middle = (high + low) / 2
+    under, over = _Trail(1), _Trail(-1)
     band, way = np.zeros(len(close)), np.zeros(len(close), dtype=int)
-    top = bottom = 0.0
+    trend = -1
     for i in range(n, len(close)):
-        top = upper[i] if upper[i] < top or close[i - 1] > top else top
-        bottom = lower[i] if lower[i] > bottom or close[i - 1] < bottom else bottom
-        if band[i - 1] == 0 or way[i - 1] < 0:
-            way[i] = 1 if close[i] > top else -1
-        else:
-            way[i] = -1 if close[i] < bottom else 1
-        band[i] = bottom if way[i] > 0 else top
+        trails = {1: under.follow(middle[i] - width[i], last[i]), -1: over.follow(middle[i] + width[i], last[i])}
+        if trend * (trails[trend] - close[i]) > 0:
+            trend = -trend
+        band[i], way[i] = trails[trend], trend
     return band, way
 
 

@@ -37,7 +37,7 @@ def xsec_robust_z(spark, d):
 
 
 def xsec_loser_events(spark, d):
-    """The lowest robust z of each day, where it is low enough (U04)."""
+    """The lowest robust z of each day, where it is low enough."""
     made = cross.robust_z(_daily(spark, d, "n_nationkey")).filter("z <= -1.5 AND exp(residual) - 1 <= -0.018")
     return _r(cross.leaders(made, "z", largest=False).select("decision_ms", "symbol", "z"), "z")
 
@@ -51,12 +51,12 @@ def breadth(spark, d):
 
 
 def breadth_thrust(spark, d):
-    """Days on which most members rose and the median rose far (U05)."""
+    """Days on which most members rose and the median rose far."""
     return _r(cross.breadth(_daily(spark, d, "n_nationkey")).filter("members >= 5 AND rising >= 0.7 AND median >= 0.2").select("decision_ms", "members", "median"), "median")
 
 
 def stress_leaders(spark, d):
-    """On days of broad falls the member that held up best (U07)."""
+    """On days of broad falls the member that held up best."""
     rows = _daily(spark, d, "n_nationkey")
     stress = cross.breadth(rows).filter("members >= 5 AND falling >= 0.6 AND median <= -0.1").select("decision_ms", "median")
     made = rows.join(stress, "decision_ms").withColumn("residual", F.col("value") - F.col("median")).filter("residual >= 0.02")
@@ -64,7 +64,7 @@ def stress_leaders(spark, d):
 
 
 def volume_share_ratio(spark, d):
-    """Share of the day's volume against its own 30-row median before (U06)."""
+    """Share of the day's volume against its own 30-row median before."""
     made = _daily(spark, d).withColumn("share", cross.shares(None, "quote_volume"))
     frame = Window.partitionBy("symbol").orderBy("decision_ms").rowsBetween(-30, -1)
     base = F.when(F.count("share").over(frame) == 30, F.percentile("share", F.lit(0.5)).over(frame))
@@ -87,7 +87,7 @@ def daily_volume_rank(spark, d):
 
 
 def liquidity_laggards(spark, d):
-    """Members in the lowest quarter by volume on most of the last 28 days (U17)."""
+    """Members in the lowest quarter by volume on most of the last 28 days."""
     rows = panel(spark, d, REGION).select(F.col("day_ms").alias("decision_ms"), "symbol", "volume").withColumn("low", cross.bottom_quartile("volume").cast("int"))
     frame = Window.partitionBy("symbol").orderBy("decision_ms").rowsBetween(-27, 0)
     made = rows.withColumn("days", F.sum("low").over(frame)).withColumn("n", F.count("*").over(frame))
@@ -99,7 +99,7 @@ def _month(rows):
 
 
 def corr_breakdown(spark, d):
-    """Correlation with the common series in each half of a month (U16)."""
+    """Correlation with the common series in each half of a month."""
     rows = _month(cross.with_common(_daily(spark, d)))
     half = F.when(F.dayofmonth(F.timestamp_millis("decision_ms")) <= 15, 0).otherwise(1)
     made = cross.co_moments(rows.withColumn("half", half), ["symbol", "month", "half"])
@@ -132,14 +132,14 @@ def vol_of_vol_half(spark, d):
 
 
 def weekday_residuals(spark, d):
-    """Median residual of the same weekday (U12)."""
+    """Median residual of the same weekday."""
     rows = cross.with_common(_daily(spark, d)).withColumn("residual", F.col("value") - F.col("common"))
     weekday = F.pmod(F.floor(F.col("decision_ms") / DAY) + 3, F.lit(7)).cast("int")
     return _r(rows.groupBy("symbol", weekday.alias("weekday")).agg(F.count("*").alias("n"), F.percentile("residual", F.lit(0.5)).alias("median")), "median")
 
 
 def lagged_diffusion(spark, d):
-    """A member's move on the day after a common shock (U13)."""
+    """A member's move on the day after a common shock."""
     rows = cross.with_common(_daily(spark, d))
     shocks = rows.select("decision_ms", "common").distinct().filter("abs(common) >= 0.3").select((F.col("decision_ms") + DAY).alias("decision_ms"), F.signum("common").alias("way"))
     made = rows.join(shocks, "decision_ms")
@@ -147,7 +147,7 @@ def lagged_diffusion(spark, d):
 
 
 def dispersion_expansion(spark, d):
-    """The day's dispersion against the median of the 20 days before (U22)."""
+    """The day's dispersion against the median of the 20 days before."""
     daily = _daily(spark, d, "n_nationkey")
     by_day = cross.robust_z(daily).groupBy("decision_ms").agg(F.max("mad").alias("mad"))
     # a day's number of rows before it is bounded by the frame; days are few against rows
@@ -157,7 +157,7 @@ def dispersion_expansion(spark, d):
 
 
 def range_expansion(spark, d):
-    """Log range against its own prior bars, with close location and body (U23)."""
+    """Log range against its own prior bars, with close location and body."""
     made = panel(spark, d, REGION).withColumn("range", F.ln(F.col("high") / F.col("low")))
     frame = Window.partitionBy("symbol").orderBy("day_ms").rowsBetween(-42, -1)
     base = F.when(F.count("range").over(frame) == 42, F.percentile("range", F.lit(0.5)).over(frame))
@@ -167,14 +167,14 @@ def range_expansion(spark, d):
 
 
 def close_location(spark, d):
-    """Members that closed near their high on a day on which most closed low (U14)."""
+    """Members that closed near their high on a day on which most closed low."""
     made = panel(spark, d).select(F.col("day_ms").alias("decision_ms"), "symbol", F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")).alias("location"))
     made = made.withColumn("low_share", F.avg((F.col("location") < 0.5).cast("double")).over(cross.section())).withColumn("members", F.count("*").over(cross.section()))
     return _r(made.filter("members >= 5 AND low_share >= 0.6 AND location >= 0.8").select("decision_ms", "symbol", "location"), "location")
 
 
 def peak_residuals(spark, d):
-    """Largest leave-one-out residual of each month (U24)."""
+    """Largest leave-one-out residual of each month."""
     rows = _month(cross.leave_one_out(_daily(spark, d)))
     return _r(rows.groupBy("symbol", "month").agg(F.max(F.col("value") - F.col("others_median")).alias("peak")), "peak")
 
