@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbline.plans import detectors, markets, more, series, strategies
+from ebbline.plans import checks, detectors, markets, more, series, strategies
 
-ENTRIES = {**series.OUT, **markets.OUT, **more.OUT, **strategies.OUT, **detectors.OUT}
+ENTRIES = {**series.OUT, **markets.OUT, **more.OUT, **strategies.OUT, **detectors.OUT, **checks.OUT}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
