@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.operators import asof, funding, indicators, rolling, universe
+from ebbline.plans.markets import VOLUMES
 from ebbline.plans.series import _r
 from ebbline.sources.tables import DAY, HOUR, bars, bars_sql, panel, ticks
 
@@ -134,12 +134,9 @@ def active_universe_benchmark(spark, d):
     returns = p.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("day_ms")) - 1).filter("r IS NOT NULL")
     daily = universe.active(returns, members, "day_ms").groupBy("day_ms").agg(F.avg(F.least(F.col("r"), F.lit(0.05))).alias("r"), F.count("*").alias("members"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day_ms")
-        return pdf.assign(equity=10_000 * np.cumprod(1 + np.maximum(pdf["r"].to_numpy(), -0.05)))[["day_ms", "members", "equity"]]
-
-    # one row a day: a single sequence whatever the number of rows behind it
-    return _r(daily.withColumn("k", F.lit(1)).groupBy("k").applyInPandas(run, "day_ms long, members long, equity double"), "equity", places=4)
+    # one row a day, whatever the number of rows behind it: growth adds up in logarithms
+    so_far = F.sum(F.ln(1 + F.greatest(F.col("r"), F.lit(-0.05)))).over(Window.partitionBy(F.lit(0)).orderBy("day_ms").rowsBetween(Window.unboundedPreceding, 0))
+    return _r(daily.select("day_ms", "members", (10_000 * F.exp(so_far)).alias("equity")), "equity", places=4)
 
 
 CH = f"{B}, n AS (SELECT *, CASE WHEN row_number() {W}) >= 24 THEN max(high) {W} ROWS 23 PRECEDING) END AS hi, CASE WHEN row_number() {W}) >= 24 THEN min(low) {W} ROWS 23 PRECEDING) END AS lo FROM bars)"
@@ -159,5 +156,10 @@ OUT = {
     ),
     "composite_signals": (composite_signals, None),
     "funding_cycles": (funding_cycles, None),
-    "active_universe_benchmark": (active_universe_benchmark, None),
+    "active_universe_benchmark": (
+        active_universe_benchmark,
+        f"""WITH {VOLUMES.replace(">= 60", ">= 10")}, mb AS (SELECT month, symbol FROM volumes WHERE eligible QUALIFY row_number() OVER (PARTITION BY month ORDER BY median_volume DESC, symbol) <= 5),
+r AS (SELECT symbol, day_ms, close / lag(close) OVER (PARTITION BY symbol ORDER BY day_ms) - 1 AS r FROM panel), d AS (SELECT day_ms, avg(least(r, 0.05)) AS r, count(*) AS members FROM r JOIN mb ON mb.symbol = r.symbol AND mb.month = year(make_timestamp(day_ms * 1000)) * 12 + month(make_timestamp(day_ms * 1000)) - 1 WHERE r IS NOT NULL GROUP BY 1)
+SELECT day_ms, members, round(10000 * exp(sum(ln(1 + greatest(r, -0.05))) OVER (ORDER BY day_ms ROWS UNBOUNDED PRECEDING)), 4) AS equity FROM d""",
+    ),
 }
