@@ -19,6 +19,11 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def squares(values: Column) -> Column:
+    """Sum of squares, in one pass."""
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)
+
+
 def mean(values: Column) -> Column:
     return F.try_divide(total(values), F.size(values))
 
@@ -45,7 +50,7 @@ def co_moment(x: Column, y: Column, p: int, q: int) -> Column:
         return v if k == 1 else v * v
 
     def of(dx: Column, dy: Column) -> Column:
-        square = lambda d: mean(F.transform(d, lambda v: v * v))
+        square = lambda d: F.try_divide(squares(d), F.size(d))
         joint = mean(F.zip_with(dx, dy, lambda a, b: power(a, p) * power(b, q)))
         spread = lambda v, k: F.sqrt(v) if k == 1 else v
         return bind(square(dx), lambda vx: bind(square(dy), lambda vy: F.when((vx > 0) & (vy > 0), joint / (spread(vx, p) * spread(vy, q)))))
@@ -74,7 +79,7 @@ def tail(values: Column, least: int = 2) -> Column:
 
         def made(t: Column) -> Column:
             energy = total(F.transform(t, square))
-            every = total(F.transform(values, square))
+            every = F.aggregate(values, F.lit(0.0), lambda s, v: s + square(v))
             found = F.struct(
                 F.size(t).alias("n"),
                 (energy / every).alias("share"),
@@ -90,7 +95,7 @@ def tail(values: Column, least: int = 2) -> Column:
 
 def volatility_of_volatility(values: Column, block: int) -> Column:
     """Scaled MAD over median of the blocks' root mean squares; null without either."""
-    root = lambda part: F.sqrt(mean(F.transform(part, lambda v: v * v)))
+    root = lambda part: F.sqrt(squares(part) / block)
     count = F.floor(F.size(values) / block).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: root(F.slice(values, i * block + 1, F.lit(block))))
     ratio = lambda b: bind(median(b), lambda m: bind(scaled_mad(b, m), lambda s: F.when((m > 0) & (s > 0), s / m)))
