@@ -108,13 +108,14 @@ def pair_month_states(spark, d):
     """Two symbols' hours as slots: what is missing, closes early, or differs between both."""
     b = bars(spark, d).filter("symbol IN ('click', 'purchase')").withColumn("month", universe.month_index("open_time"))
     slots = b.select("month", "open_time").union(ticks(spark, d).filter("symbol = 'view'").select(F.lit(None).cast("int"), (F.col("ts_ms") - F.pmod("ts_ms", F.lit(HOUR))).alias("open_time"))).select("open_time").distinct().withColumn("month", universe.month_index("open_time"))
-    both = slots.crossJoin(F.broadcast(spark.createDataFrame([("click",), ("purchase",)], "symbol string")))  # two rows
+    two = F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("symbol")
+    both = slots.select("month", "open_time", two)
     missing = both.join(b.select("symbol", "open_time"), ["symbol", "open_time"], "left_anti").select("month", "symbol", F.lit("5m").alias("frame"), F.col("open_time").alias("ts"))
     shared = missing.groupBy("month", "ts").agg(F.count("*").alias("n")).filter("n = 2").select("month", "ts")
     even = F.pmod(F.col("month"), F.lit(2)) == 0
     kept = missing.join(shared, ["month", "ts"], "left_semi").union(missing.join(shared, ["month", "ts"], "left_anti").filter(~even))
     faults = slots.select("month").distinct().withColumn("symbol", F.lit("click")).withColumn("frame", F.lit("5m")).withColumn("n", F.when(F.pmod(F.col("month"), F.lit(5)) == 0, 1).otherwise(0))
-    early = shared.join(F.broadcast(spark.createDataFrame([("click",), ("purchase",)], "symbol string")), how="cross").select("month", "symbol", "ts")
+    early = shared.select("month", two, "ts")
     parity = shared.select("month", F.lit("click").alias("symbol"), F.lit("1h").alias("frame"), "ts", F.lit("derived").alias("kind"))
     return validation.pair_months(kept, early, faults, parity, ("click", "purchase")).withColumn("month", F.col("month").cast("long"))
 

@@ -6,6 +6,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,7 +45,7 @@ def _lines(path: str, content: bytes, keep_header: bool) -> Iterator[tuple]:
                         continue
                     fields = raw.decode("utf-8", "replace").split(",")
                     yield (path, digest, size, symbol, interval, period, number, raw, hashlib.sha256(raw).hexdigest(), fields, None if len(fields) == 12 else "field count")
-    except (zipfile.BadZipFile, OSError) as e:
+    except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error) as e:
         yield fail(f"broken archive: {type(e).__name__}")
 
 
@@ -68,6 +69,41 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.zip", keep_header: bo
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
+def _fault(path: str, content: bytes) -> str | None:
+    """What is wrong with an archive itself: it can't be opened, a member's checksum fails, or it isn't the one named member."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if z.testzip() is not None:
+                return "damaged member"
+            names = z.namelist()
+    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, zlib.error):
+        return "broken archive"
+    if len(names) != 1:
+        return "not one member"
+    return None if identity(names[0]) and identity(names[0]) == identity(path) else "member name"
+
+
+def verdicts(spark: SparkSession, root: str, checksums: DataFrame, pattern: str = "*.zip") -> DataFrame:
+    """Every archive below root against its published checksum (name, sha256): archive, name, sha256, expected and verdict, "ok" or the first fault."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(p, p.rsplit("/", 1)[-1], hashlib.sha256(c).hexdigest(), _fault(p, c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame(made, columns=["archive", "name", "sha256", "fault"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    found = files.select("path", "content").mapInPandas(run, "archive string, name string, sha256 string, fault string")
+    joined = found.join(checksums.select("name", F.lower("sha256").alias("expected")), "name", "left")
+    verdict = F.when(F.col("expected").isNull(), "no checksum").when(F.col("expected") != F.col("sha256"), "checksum differs").otherwise(F.coalesce("fault", F.lit("ok")))
+    return joined.select("archive", "name", "sha256", "expected", verdict.alias("verdict"))
+
+
+def verified(spark: SparkSession, root: str, checksums: DataFrame, pattern: str = "*.zip", **how) -> DataFrame:
+    """The lines of the archives whose verdict is ok."""
+    good = verdicts(spark, root, checksums, pattern).filter("verdict = 'ok'").select("archive")
+    return scan(spark, root, pattern, **how).join(good, "archive", "left_semi")
+
+
 def typed(lines: DataFrame, micros_from: int = 10**15) -> DataFrame:
     """Typed bars of the lines without an error."""
     f = lambda i, kind: F.get("fields", F.lit(i)).try_cast(kind)

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from ebbline.operators.dedup import first_wins
 
+#: The columns of an envelope.
 COLUMNS = {"dataset": "string", "source": "string", "endpoint": "string", "params": "map<string,string>", "payload": "string", "ingested_at_ms": "long", "content_sha256": "string"}
 SCHEMA = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_\-]*")
+_DATASET = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.\-]*")
 
 #: The places of a bar's fields in a positional payload row.
 POSITIONS = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trade_count", "taker_buy_base_volume", "taker_buy_quote_volume")
 
 
-def checked_name(name: str) -> str:
-    """A dataset or table name that can be a folder; anything else raises."""
-    if not _NAME.fullmatch(name):
+def checked_name(name: str, dots: bool = False) -> str:
+    """A table name, or a dataset name (with dots), that can be a folder; anything else raises."""
+    if not (_DATASET if dots else _NAME).fullmatch(name):
         raise ValueError(f"not a name: {name!r}")
     return name
 
@@ -34,7 +36,7 @@ def append(envelopes: DataFrame, root: str) -> None:
 def scan(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Envelopes of a dataset; partition folders are pruned by name and blank lines skipped."""
     fields = ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items() if name != "dataset")
-    rows = spark.read.schema(fields).option("mode", "FAILFAST").json(f"{root}/dataset={checked_name(dataset)}")
+    rows = spark.read.schema(fields).option("mode", "FAILFAST").json(f"{root}/dataset={checked_name(dataset, dots=True)}")
     return rows.withColumn("dataset", F.lit(dataset)).filter("content_sha256 IS NOT NULL")
 
 

@@ -194,6 +194,41 @@ def test_archives(spark, tmp_path):
     assert archives.before(archives.typed(lines), 1).count() == 1
 
 
+def test_archives_against_their_checksums(spark, tmp_path):
+    import hashlib
+
+    line = "0,1,2,0.5,1.5,10,3599999,15,3,4,6,0\n"
+    for name, member in (("A", "AUSDT"), ("B", "BUSDT"), ("C", "XUSDT"), ("D", "DUSDT"), ("E", "EUSDT")):
+        _zip(tmp_path / f"{name}USDT-1h-2024-01.zip", f"{member}-1h-2024-01.csv", line * 50)
+    hurt = bytearray((tmp_path / "DUSDT-1h-2024-01.zip").read_bytes())
+    hurt[60] ^= 255
+    (tmp_path / "DUSDT-1h-2024-01.zip").write_bytes(bytes(hurt))
+    sums = [(f.name, hashlib.sha256(f.read_bytes()).hexdigest().upper()) for f in tmp_path.glob("[A-D]*.zip")]
+    sums = [(n, "0" * 64 if n.startswith("B") else s) for n, s in sums]
+    checksums = spark.createDataFrame(sums, "name string, sha256 string")
+    got = {r.name[0]: r.verdict for r in archives.verdicts(spark, str(tmp_path), checksums).collect()}
+    assert got.pop("D") in ("damaged member", "broken archive")
+    assert got == {"A": "ok", "B": "checksum differs", "C": "member name", "E": "no checksum"}
+    assert {r.symbol for r in archives.verified(spark, str(tmp_path), checksums).collect()} == {"AUSDT"}
+
+
+def test_guard_against_looking_ahead(spark):
+    from ebbline.operators import validation
+
+    rows = spark.createDataFrame([(1, 2), (3, 3)], "known long, decided long")
+    assert validation.guarded(rows, "known", "decided").count() == 2 and validation.looks_ahead(rows, "known", "decided").isEmpty()
+    with pytest.raises(Exception, match="feature after decision"):
+        validation.guarded(rows.union(spark.createDataFrame([(9, 8)], rows.schema)), "known", "decided").collect()
+
+
+def test_episodes_cross_buckets(spark):
+    times = [0, 5, 90, 105, 195, 290, 310, 1000, 1050, 1101, 1500]
+    df = spark.createDataFrame([("A", t, i) for i, t in enumerate(times)] + [("B", 50, 99)], "symbol string, ts_ms long, id long")
+    for span in (7, 100, 10_000):
+        got = {(r.symbol, r["first"], r["last"], r.events, r.first_id) for r in episodes.connected(df, 100, span=span).collect()}
+        assert got == {("A", 0, 310, 7, 0), ("A", 1000, 1101, 3, 7), ("A", 1500, 1500, 1, 10), ("B", 50, 50, 1, 99)}
+
+
 def test_sinks(spark, tmp_path):
     bars = spark.createDataFrame(series(10), BAR)
     one = sinks.write_json_lines(bars, str(tmp_path / "a"), ["symbol", "open_time"])
