@@ -17,10 +17,10 @@ def _w(ts: str = "open_time"):
     return Window.partitionBy("symbol").orderBy(ts)
 
 
-def bollinger(value: Column, n: int, width: float, ts: str = "open_time") -> tuple[Column, Column, Column]:
-    """Lower, middle and upper band with the population deviation."""
+def bollinger(value: Column, n: int, width: float, ts: str = "open_time", deviation=F.stddev_pop) -> tuple[Column, Column, Column]:
+    """Lower, middle and upper band, with the population deviation unless another one is given."""
     middle = sma(value, n, ts)
-    spread = full(value, F.stddev_pop, -(n - 1), 0, ts) * width
+    spread = full(value, deviation, -(n - 1), 0, ts) * width
     return middle - spread, middle, middle + spread
 
 
@@ -49,26 +49,42 @@ def keltner_width(n: int, ts: str = "open_time") -> Column:
     return F.try_divide(mean((4 * h - 2 * low + c) / 3) - mean((-2 * h + 4 * low + c) / 3), mean((h + low + c) / 3)) * 100
 
 
+def typical() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
+
+
+def with_stochastic(bars: DataFrame, n: int, smooth: int, fast: str, slow: str, ts: str = "open_time") -> DataFrame:
+    """Place of the close in the channel of n bars, 0 where that is flat, as fast, and its mean over smooth bars as slow."""
+    high, low = channel(n, ts)
+    made = bars.withColumn(fast, F.when(high == low, 0.0).otherwise(100 * (F.col("close") - low) / (high - low)))
+    return made.withColumn(slow, sma(F.col(fast), smooth, ts))
+
+
+def hammer(ts: str = "open_time") -> Column:
+    """A small body at the last bar's low, hardly a shadow above it and one longer than the body below; "small" and "near" are shares of means over earlier bars."""
+    body, reach = F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    low_before = F.lag("low").over(_w(ts)) + 0.2 * full(reach, F.avg, -6, -2, ts)
+    return (body < full(body, F.avg, -10, -1, ts)) & (bottom - F.col("low") > body) & (F.col("high") - top < 0.1 * full(reach, F.avg, -10, -1, ts)) & (bottom <= low_before)
 
 
 def money_flow(n: int, ts: str = "open_time") -> Column:
     """Money flow index of typical prices."""
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    before = F.lag(typical).over(_w(ts))
-    flow = typical * F.col("volume")
+    price = typical()
+    before = F.lag(price).over(_w(ts))
+    flow = price * F.col("volume")
     frame = _w(ts).rowsBetween(-(n - 1), 0)
-    up, down = F.sum(F.when(typical > before, flow).otherwise(0.0)).over(frame), F.sum(F.when(typical < before, flow).otherwise(0.0)).over(frame)
+    up, down = F.sum(F.when(price > before, flow).otherwise(0.0)).over(frame), F.sum(F.when(price < before, flow).otherwise(0.0)).over(frame)
     return F.when(F.row_number().over(_w(ts)) > n, F.when(up + down == 0, 50.0).otherwise(100 * up / F.greatest(up + down, F.lit(1e-300))))
 
 
 def commodity_channel(n: int, ts: str = "open_time") -> Column:
     """(typical - mean) / (0.015 mean absolute deviation)."""
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     frame = _w(ts).rowsBetween(-(n - 1), 0)
-    values = F.collect_list(typical).over(frame)
+    values = F.collect_list(typical()).over(frame)
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
     off = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x - mean)) / n
-    return F.when(F.size(values) == n, F.try_divide(typical - mean, 0.015 * off))
+    return F.when(F.size(values) == n, F.try_divide(typical() - mean, 0.015 * off))
 
 
 def inverse_fisher(rsi: Column) -> Column:
@@ -87,6 +103,30 @@ def ema(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def seeded_ema(x: np.ndarray, n: int) -> np.ndarray:
+    """Exponential mean seeded with the plain mean of the first n values; leading gaps in x are passed over."""
+    out = np.full(len(x), np.nan)
+    known = x[~np.isnan(x)]
+    if len(known) >= n:
+        tail = np.concatenate([[known[:n].mean()], known[n:]])
+        out[len(x) - len(tail) :] = ema(tail, n)
+    return out
+
+
+def tema(x: np.ndarray, n: int) -> np.ndarray:
+    """Triple exponential mean, each level seeded."""
+    one = seeded_ema(x, n)
+    two = seeded_ema(one, n)
+    return 3 * (one - two) + seeded_ema(two, n)
+
+
+def macd(close: np.ndarray, fast: int, slow: int) -> np.ndarray:
+    """Difference of two seeded means that start at the same bar."""
+    late = max(slow - fast, 0)
+    head = np.full(min(late, len(close)), np.nan)
+    return np.concatenate([head, seeded_ema(close[late:], fast)]) - seeded_ema(close, slow)
+
+
 def wilder(x: np.ndarray, n: int) -> np.ndarray:
     """Wilder's mean: the plain mean of the first n values, then a n-th of each new one."""
     out = np.full(len(x), np.nan)
@@ -194,13 +234,14 @@ def heikin_ashi(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.
     return o, c
 
 
-def per_symbol(bars: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]], ts: str = "open_time") -> DataFrame:
-    """bars with columns that need a whole symbol in order: one Arrow batch for each symbol."""
-    keep = ["symbol", ts]
-    schema = f"symbol string, {ts} long, " + ", ".join(f"{c} double" for c in columns)
+def per_symbol(bars: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]], ts: str = "open_time", carry: bool = False) -> DataFrame:
+    """Columns that need a whole symbol in order, one Arrow batch for each symbol; carry keeps the bars' own columns beside them."""
+    values = ["open", "high", "low", "close", "volume"]
+    keep = ["symbol", ts] + (values if carry else [])
+    schema = f"symbol string, {ts} long, " + ", ".join(f"{c} double" for c in keep[2:] + list(columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
         return pd.concat([pdf[keep], pd.DataFrame({c: f(pdf) for c, f in columns.items()})], axis=1)
 
-    return bars.select("symbol", ts, "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(run, schema)
+    return bars.select("symbol", ts, *values).groupBy("symbol").applyInPandas(run, schema)

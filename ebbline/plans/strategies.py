@@ -76,8 +76,7 @@ def _columns():
 
 def composite_signals(spark, d):
     """Entries of several rule sets over the folded indicators: candle trend, oversold, momentum, strength and trend direction."""
-    base = bars(spark, d)
-    made = base.select("symbol", "open_time", "close", "volume").join(indicators.per_symbol(base, _columns()), ["symbol", "open_time"])
+    made = indicators.per_symbol(bars(spark, d), _columns(), carry=True)
     w = Window.partitionBy("symbol").orderBy("open_time")
     rules = {
         "candle_trend": indicators.crossed_above(F.col("ema20"), F.col("ema50")) & (F.col("ha_close") > F.col("ema20")) & (F.col("ha_open") < F.col("ha_close")),

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbline import catalogue
-from ebbline.operators import metrics, rolling
-from ebbline.plans import markets, strategies, trend
+from ebbline.operators import indicators, metrics, rolling, rules
+from ebbline.plans import markets, rulesets, strategies, trend
 from ebbline.plans.series import REGION
 from ebbline.sources.tables import DAY, HOUR, bars, panel, ticks, trades
 
@@ -228,4 +228,188 @@ def test_cycles_end_the_same_whatever_the_order():
 
 def test_every_query_has_sql_or_a_plain_version():
     plain = {"recursive_indicators", "composite_signals", "trend_backtest_equity", "policy_benchmark", "curve_metrics_psr", "funding_cycles"}
+    plain |= {"mean_ladder", "mean_share", "oversold_hammer", "flow_reversal", "strong_dip", "volume_burst"}
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == plain
+
+
+def seeded(xs, n):
+    known = [i for i, x in enumerate(xs) if x is not None]
+    out, last = [None] * len(xs), None
+    for place, i in enumerate(known, 1):
+        if place == n:
+            last = sum(xs[k] for k in known[:n]) / n
+        elif place > n:
+            last = (2 * xs[i] + (n - 1) * last) / (n + 1)
+        out[i] = last
+    return out
+
+
+def triple(xs, n):
+    one = seeded(xs, n)
+    two = seeded(one, n)
+    return [None if c is None else 3 * a - 3 * b + c for a, b, c in zip(one, two, seeded(two, n))]
+
+
+def mean_of(xs, i, n):
+    part = xs[i - n + 1 : i + 1] if i >= n - 1 else [None]
+    return None if None in part else statistics.fmean(part)
+
+
+def oscillator(h, l, c, n):
+    fast = [None if i < n - 1 else 0.0 if max(h[i - n + 1 : i + 1]) == min(l[i - n + 1 : i + 1]) else 100 * (c[i] - min(l[i - n + 1 : i + 1])) / (max(h[i - n + 1 : i + 1]) - min(l[i - n + 1 : i + 1])) for i in range(len(c))]
+    return fast, [mean_of(fast, i, 3) for i in range(len(c))]
+
+
+def money(h, l, c, v, i, n=14):
+    if i < n:
+        return None
+    p = [sum(x) / 3 for x in zip(h, l, c)]
+    up = sum(p[k] * v[k] for k in range(i - n + 1, i + 1) if p[k] > p[k - 1])
+    down = sum(p[k] * v[k] for k in range(i - n + 1, i + 1) if p[k] < p[k - 1])
+    return 50.0 if up + down == 0 else 100 * up / (up + down)
+
+
+def deviation_index(h, l, c, i, n=14):
+    p = [sum(x) / 3 for x in zip(h, l, c)][max(i - n + 1, 0) : i + 1]
+    if len(p) < n:
+        return None
+    off = statistics.fmean(abs(x - statistics.fmean(p)) for x in p)
+    return None if off == 0 else (p[-1] - statistics.fmean(p)) / (0.015 * off)
+
+
+def is_hammer(o, h, l, c, i):
+    if i < 10:
+        return False
+    body, reach = [abs(a - b) for a, b in zip(o, c)], [a - b for a, b in zip(h, l)]
+    shadow_below, shadow_above = min(o[i], c[i]) - l[i], h[i] - max(o[i], c[i])
+    near = l[i - 1] + 0.2 * statistics.fmean(reach[i - 6 : i - 1])
+    return body[i] < statistics.fmean(body[i - 10 : i]) and shadow_below > body[i] and shadow_above < 0.1 * statistics.fmean(reach[i - 10 : i]) and min(o[i], c[i]) <= near
+
+
+def holds(*conditions):
+    """Each condition is (value, test); an undefined value holds nothing."""
+    return all(v is not None and test(v) for v, test in conditions)
+
+
+def over(a, b):
+    return None if a is None or b is None else a - b
+
+
+def compare(marked, hours, plain, at_least=(0, 0)):
+    """marked against plain(series of a symbol) -> columns by name, enters and leaves by bar."""
+    found = [0, 0]
+    for symbol, got in by_symbol(marked, "open_time").items():
+        columns, enters, leaves = plain(*([r[k] for r in hours[symbol]] for k in ("open", "high", "low", "close", "volume")), got)
+        for name, values in columns.items():
+            assert all(same(v, r[name]) for v, r in zip(values, got, strict=True)), (symbol, name)
+        for i, r in enumerate(got):
+            assert (r.enters, r.leaves) == (enters(i), leaves(i)), (symbol, i)
+            found = [found[0] + r.enters, found[1] + r.leaves]
+    assert found[0] >= at_least[0] and found[1] >= at_least[1], found
+
+
+def test_mean_ladder(spark, hours):
+    assert rules.rungs(4, 15) == [(30, 15), (45, 30)] and rules.rungs(4, 1) == [(3, 2)] and rules.rungs(1, 5) == []
+
+    def plain(o, h, l, c, v, got):
+        t = {n: triple(c, n) for n in (2, 4, 6, 8, 15, 30, 45)}
+        return {"tema15": t[15]}, lambda i: holds((over(t[30][i], t[15][i]), lambda x: x < 0), (over(t[45][i], t[30][i]), lambda x: x < 0)), lambda i: any(holds((over(t[n][i], t[n - 2][i]), lambda x: x > 0)) for n in (4, 6, 8))
+
+    means = {f"tema{n}": lambda p, n=n: indicators.tema(p["close"].to_numpy(), n) for n in (2, 4, 6, 8, 15, 30, 45)}
+    compare(rules.mean_ladder(indicators.per_symbol(bars(spark, DIR), means, carry=True), exit_=(5, 2)), hours, lambda *a: ({"tema15": plain(*a)[0]["tema15"]}, *plain(*a)[1:]), (5, 5))
+    # the query's own lengths
+    compare(rulesets.mean_ladder(spark, DIR), hours, lambda o, h, l, c, v, got: ({"tema15": triple(c, 15), "tema68": triple(c, 68)}, plain(o, h, l, c, v, got)[1], lambda i: got[i].leaves), (5, 0))
+    empty = spark.createDataFrame([], "symbol string, open_time long, open double, high double, low double, close double, volume double")
+    assert rules.mean_ladder(indicators.per_symbol(empty, means, carry=True), exit_=(5, 2)).count() == 0
+    assert not rules.mean_ladder(bars(spark, DIR), entry=(1, 5), exit_=(1, 5)).filter("enters OR leaves").count()
+
+
+def test_mean_share(spark, hours):
+    def plain(o, h, l, c, v, got):
+        share = [None if b is None else a / b - 1 for a, b in zip(seeded(c, 12), seeded(c, 26))]
+        return {"share": share}, lambda i: holds((share[i], lambda x: -0.01416 <= x <= -0.01176)), lambda i: False
+
+    compare(rulesets.mean_share(spark, DIR), hours, plain, (1, 0))
+
+
+def fisher(x):
+    return None if x is None else math.tanh(0.1 * (x - 50))
+
+
+def test_oversold_hammer(spark, hours):
+    def limits(most_rsi, most_slow):
+        def plain(o, h, l, c, v, got):
+            strength, slow = rsi(c, 14), oscillator(h, l, c, 5)[1]
+            p = [sum(x) / 3 for x in zip(h, l, c)]
+            low = [None if i < 19 else statistics.fmean(p[i - 19 : i + 1]) - 2 * statistics.stdev(p[i - 19 : i + 1]) for i in range(len(c))]
+            enters = lambda i: is_hammer(o, h, l, c, i) and holds((strength[i], lambda x: x < most_rsi), (slow[i], lambda x: x < most_slow), (low[i], lambda x: x > c[i]))
+            leaves = lambda i: got[i].sar is not None and got[i].sar > c[i] and holds((fisher(strength[i]), lambda x: x > 0.3))
+            return {"rsi": strength, "slowk": slow, "low2": low, "hammer": [is_hammer(o, h, l, c, i) for i in range(len(c))]}, enters, leaves
+
+        return plain
+
+    made = rulesets.folded(spark, DIR, "rsi", "sar")
+    compare(rules.oversold_hammer(made), hours, limits(30, 20), (0, 5))
+    compare(rules.oversold_hammer(made, 100, 101), hours, limits(100, 101))
+
+
+def test_hammer(spark):
+    rows = [("A", i, 10.0, 11.0, 9.0, 10.5) for i in range(12)] + [("A", 12, 8.95, 9.02, 7.5, 9.0), ("A", 13, 8.95, 9.9, 7.5, 9.0), ("A", 14, 8.0, 9.02, 7.5, 9.0)]
+    made = spark.createDataFrame(rows, "symbol string, open_time long, open double, high double, low double, close double")
+    assert [r.open_time for r in made.withColumn("x", indicators.hammer()).filter("x").collect()] == [12]
+
+
+def test_flow_reversal(spark, hours):
+    def limits(most_rsi, most_fisher, most_money):
+        def plain(o, h, l, c, v, got):
+            strength, (fast, slow) = rsi(c, 14), oscillator(h, l, c, 5)
+            e = {n: seeded(c, n) for n in (5, 10, 50, 100)}
+            flow = [money(h, l, c, v, i) for i in range(len(c))]
+            up = lambda i: holds((over(e[50][i], e[100][i]), lambda x: x > 0)) or i > 0 and holds((over(e[5][i], e[10][i]), lambda x: x > 0), (over(e[5][i - 1], e[10][i - 1]), lambda x: x <= 0))
+            enters = lambda i: up(i) and holds((strength[i], lambda x: 0 < x < most_rsi), (fisher(strength[i]), lambda x: x < most_fisher), (flow[i], lambda x: x < most_money), (over(mean_of(c, i, 40), c[i]), lambda x: x > 0), (over(slow[i], fast[i]), lambda x: x > 0), (slow[i], lambda x: x > 0))
+            return {"rsi": strength, "slow": slow, "mfi": flow, "ema100": e[100]}, enters, lambda i: got[i].sar is not None and got[i].sar > c[i] and holds((fisher(strength[i]), lambda x: x > 0.3))
+
+        return plain
+
+    made = rulesets.folded(spark, DIR, "rsi", "sar", "ema5", "ema10", "ema50", "ema100")
+    compare(rules.flow_reversal(made), hours, limits(28, -0.94, 16), (0, 5))
+    compare(rules.flow_reversal(made, 100, 1, 101), hours, limits(100, 1, 101), (5, 5))
+
+
+def test_strong_dip(spark, hours):
+    def limits(least, least_slow, most_cci, most_fast, most_slow):
+        def plain(o, h, l, c, v, got):
+            a, b = adx(h, l, c, 14)[0], adx(h, l, c, 35)[0]
+            (k, d), (lk, ld) = oscillator(h, l, c, 5), oscillator(h, l, c, 50)
+            e, cci = seeded(c, 5), [deviation_index(h, l, c, i) for i in range(len(c))]
+            under = lambda i: i > 0 and holds((over(k[i - 1], d[i - 1]), lambda x: x < 0))
+            strong = lambda i: holds((a[i], lambda x: x > least)) or holds((b[i], lambda x: x > least_slow))
+            low = lambda i: holds((k[i - 1], lambda x: x < most_fast), (d[i - 1], lambda x: x < most_fast), (lk[i - 1], lambda x: x < most_slow), (ld[i - 1], lambda x: x < most_slow))
+            enters = lambda i: under(i) and strong(i) and low(i) and holds((over(k[i], d[i]), lambda x: x > 0), (cci[i], lambda x: x < most_cci), (mean_of(v, i, 12), lambda x: x > 0.75))
+            leaves = lambda i: under(i) and (holds((k[i], lambda x: x > 70)) or holds((d[i], lambda x: x > 70))) and holds((b[i], lambda x: x < 25), (over(c[i], e[i]), lambda x: x > 0))
+            return {"adx": a, "slow_adx": b, "cci": cci, "k": k, "d": d, "long_k": lk, "long_d": ld}, enters, leaves
+
+        return plain
+
+    made = rulesets.folded(spark, DIR, "adx", "slow_adx", "ema5")
+    compare(rules.strong_dip(made), hours, limits(50, 26, -100, 20, 30), (0, 5))
+    compare(rules.strong_dip(made, 5, 5, 50, 60, 90), hours, limits(5, 5, 50, 60, 90), (5, 5))
+
+
+def test_volume_burst(spark, hours):
+    def limits(times, least_rsi, most_fisher, exit_rsi):
+        def plain(o, h, l, c, v, got):
+            strength, (fast, slow) = rsi(c, 14), oscillator(h, l, c, 5)
+            minus = adx(h, l, c, 14)[1]
+            turn = [None if b is None else a - b for a, b in zip([None] * 14 + seeded(c[14:], 12), seeded(c, 26))]
+            usual = [mean_of(v, i, 150) for i in range(len(c))]
+            scaled = [None if x is None else 50 * (fisher(x) + 1) for x in strength]
+            enters = lambda i: holds((over(v[i], usual[i] and times * usual[i]), lambda x: x > 0), (over(mean_of(c, i, 40), c[i]), lambda x: x > 0), (over(slow[i], fast[i]), lambda x: x > 0), (slow[i], lambda x: x > 1), (strength[i], lambda x: x > least_rsi), (scaled[i], lambda x: x < most_fisher))
+            leaves = lambda i: i > 0 and holds((strength[i], lambda x: x > exit_rsi), (strength[i - 1], lambda x: x <= exit_rsi), (turn[i], lambda x: x < 0), (minus[i], lambda x: x > 4))
+            return {"rsi": strength, "macd": turn, "minus": minus, "usual": usual, "fisher": scaled}, enters, leaves
+
+        return plain
+
+    made = rulesets.folded(spark, DIR, "rsi", "macd", "minus")
+    compare(rules.volume_burst(made), hours, limits(4, 26, 5, 74))
+    compare(rules.volume_burst(made, 1, 10, 101, 50), hours, limits(1, 10, 101, 50), (1, 5))
