@@ -134,3 +134,12 @@ def checks(lines: DataFrame) -> DataFrame:
     ts = F.get("fields", F.lit(0)).try_cast("long")
     made = lines.withColumn("ts", from_archive(ts)).withColumn("falls", F.coalesce(F.lag("ts").over(Window.partitionBy("archive").orderBy("line_number")) >= F.col("ts"), F.lit(False)))
     return made.groupBy("archive", "archive_sha256").agg(F.count("fields").alias("rows"), F.min("ts").alias("first_ms"), F.max("ts").alias("last_ms"), F.count("error").alias("errors"), (~F.bool_or("falls")).alias("ordered"))
+
+
+def discover(spark: SparkSession, root: str, interval: str, first: str, last: str, suffix: str = "") -> DataFrame:
+    """symbol, period and archive of the archives of an interval whose period is within first and last; names are read, contents are not."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*-{interval}-*.zip").option("recursiveFileLookup", "true").load(root)
+    name = F.regexp_extract("path", r"([A-Z0-9]+)-" + re.escape(interval) + r"-([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\.zip$", 0)
+    part = lambda i: F.regexp_extract(name, r"^([A-Z0-9]+)-[0-9]+[a-zA-Z]+-(.+)\.zip$", i)
+    made = files.select(part(1).alias("symbol"), part(2).alias("period"), F.col("path").alias("archive"))
+    return made.filter((F.col("symbol") != "") & F.col("symbol").endswith(suffix) & F.col("period").between(first, last))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ebbline.functions import hashing, money, stats, time
 from ebbline.operators import asof, dedup, episodes, grid, indicators, paths, reconcile, resample, rolling, universe
 from ebbline.plans import strategies, trend
-from ebbline.sources import archives, envelopes, sinks
+from ebbline.sources import archives, candles, envelopes, exports, sinks
 from ebbline.streaming import stateful, windows
 
 H = 3_600_000
@@ -276,3 +276,64 @@ def test_funding_cycles_take_every_tick(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.filter("event_id % 3 <> 0").write.parquet(f"{tmp_path}/events.parquet")
     assert strategies.funding_cycles(spark, str(tmp_path)).count() > 0
+
+
+def test_candle_files(spark, tmp_path):
+    good = [[0, "1.50", "2", "1", "1.5", "3"], [10, "1.5", 2.5, "1.250", "2", "0"], [20, "1e0", "1", "1", "1", "4"]]
+    with gzip.open(tmp_path / "A-1h.json.gz", "wt") as f:
+        json.dump(good, f)
+    (tmp_path / "B-1h.json").write_text(json.dumps({"data": [[40, 1, 2, 1, 1, 1], [0, 1, 2, 1, 3, 1], [0, 0, 2, 1, 1, 1], [10, "x", 2, 1, 1, 1], [20, 1, 2, 1, 1, 1, 9], [30, 1], "no row", [99, 1, 2, 1, 1, 1]]}))
+    (tmp_path / "C-1h.json").write_text(json.dumps({"other": 1}))
+    (tmp_path / "D-1h.json").write_text("no json")
+    rows = candles.scan(spark, str(tmp_path))
+    name = F.regexp_extract("file", "([A-Z])-1h", 1).alias("name")
+    assert [(r.name, r["count"]) for r in rows.groupBy(name).count().orderBy("name").collect()] == [("A", 3), ("B", 6)]
+    kept = {(r.name, r.open_time): (r.open, r.high, r.low) for r in candles.normalised(rows).select(name, "*").collect()}
+    assert kept["A", 0] == ("1.5", "2", "1") and kept["A", 10] == ("1.5", "2.5", "1.25") and kept["A", 20][0] == "1"
+    assert kept["B", 0][0] == "0" and kept["B", 10][0] is None and len(kept) == 8
+    faults = {(r.name, r.place): r.fault for r in candles.faults(rows, 50).select(name, "*").collect()}
+    assert faults == {("A", 0): None, ("A", 1): None, ("A", 2): None, ("B", 0): None, ("B", 1): "range", ("B", 2): "values", ("B", 3): "values", ("B", 4): None}
+    got = {r.name: (r.rows, r.first_ms, r.last_ms, r.missing) for r in candles.profile(rows, 10, 0, 41).select(name, "*").collect()}
+    assert got == {"A": (3, 0, 20, 0), "B": (4, 0, 40, 1)}
+
+
+def test_exports(spark, tmp_path):
+    trade = {"pair": "A", "open_date": "2024-01-01 00:00:00+00:00", "close_date": "2024-01-02 00:00:00+00:00", "open_rate": 1.0, "close_rate": 2, "stake_amount": 10, "profit_abs": 3.5, "exit_reason": "roi", "is_open": False}
+    meta = {"notes": "base", "timeframe": "1h", "timeframe_detail": "5m", "backtest_end_ts": 1_706_745_600}
+
+    def export(name, trades, meta=meta, strategy="S", files=("r.json", "r_config.json")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for f in files:
+                z.writestr(f, json.dumps({"strategy": {strategy: {"trades": trades}}}))
+        if meta:
+            (tmp_path / f"{name}.meta.json").write_text(json.dumps({strategy: meta}))
+
+    export("ok", [trade, {**trade, "exit_reason": "force_exit"}, {**trade, "exit_reason": None}])
+    export("open", [{**trade, "is_open": True}])
+    export("late", [{**trade, "close_date": "2024-02-01 00:00:00+00:00"}])
+    export("undated", [{**trade, "open_date": None}])
+    export("other", [trade], strategy="T")
+    export("two", [trade], files=("a.json", "b.json"))
+    export("bare", [trade], meta=None)
+    export("note", [trade], {**meta, "notes": "x"})
+    export("frame", [trade], {**meta, "timeframe_detail": None})
+    export("end", [trade], {**meta, "backtest_end_ts": 1})
+    export("none", [])
+    (tmp_path / "broken.zip").write_bytes(b"no zip")
+    found = exports.verdicts(exports.scan(spark, str(tmp_path), "S"), "base", "1h", "5m", 1_704_067_200_000, 1_706_745_600_000)
+    name = F.regexp_extract("archive", "([a-z]+)\\.zip", 1)
+    assert {r[0]: r[1] for r in found.select(name, "verdict").collect()} == {
+        "ok": "ok", "open": "open trades", "late": "boundary", "undated": "boundary", "other": "no strategy", "two": "not one result",
+        "bare": "no metadata", "note": "note", "frame": "timeframe", "end": "end", "none": "ok", "broken": "broken archive",
+    }
+    rows = exports.trades(found.filter("verdict = 'ok'"))
+    assert rows.count() == 3 and exports.trades(found.filter("verdict = 'ok'"), forced=False).count() == 2
+    assert (rows.first().open_ms, rows.first().close_ms, rows.first().pnl) == (1_704_067_200_000, 1_704_153_600_000, 3.5)
+
+
+def test_discover(spark, tmp_path):
+    for name in ("AUSDT-1d-2024-01", "AUSDT-1d-2024-03", "BUSDT-1d-2023-12", "CEUR-1d-2024-02", "DUSDT-1h-2024-01", "EUSDT-1d-2024-02"):
+        (tmp_path / name[:4]).mkdir(exist_ok=True)
+        (tmp_path / name[:4] / f"{name}.zip").write_bytes(b"never opened")
+    found = archives.discover(spark, str(tmp_path), "1d", "2024-01", "2024-02", "USDT")
+    assert sorted((r.symbol, r.period) for r in found.collect()) == [("AUSDT", "2024-01"), ("EUSDT", "2024-02")]
