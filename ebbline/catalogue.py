@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbline.plans import checks, detectors, markets, more, rulesets, series, strategies
+from ebbline.plans import checks, detectors, files, markets, more, rulesets, series, strategies
 
-ENTRIES = {**series.OUT, **markets.OUT, **more.OUT, **strategies.OUT, **detectors.OUT, **checks.OUT, **rulesets.OUT}
+ENTRIES = {**series.OUT, **markets.OUT, **more.OUT, **strategies.OUT, **detectors.OUT, **checks.OUT, **rulesets.OUT, **files.OUT}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

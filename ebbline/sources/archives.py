@@ -49,8 +49,14 @@ def _lines(path: str, content: bytes, keep_header: bool) -> Iterator[tuple]:
         yield fail(f"broken archive: {type(e).__name__}")
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.zip", keep_header: bool = False, rows_at_once: int = 20_000) -> DataFrame:
-    """Every physical line of every archive below root with its bytes, hash and archive; a faulty archive is one row with an error."""
+def files(spark: SparkSession, root: str, pattern: str = "*.zip") -> DataFrame:
+    """path and content of the files below root."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return found.select("path", "content")
+
+
+def unpacked(archives: DataFrame, keep_header: bool = False, rows_at_once: int = 20_000) -> DataFrame:
+    """Every physical line of every archive (path, content) with its bytes, hash and archive; a faulty archive is one row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ROWS.split(", ")]
@@ -65,8 +71,12 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.zip", keep_header: bo
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "content").mapInPandas(run, ROWS)
+    return archives.select("path", "content").mapInPandas(run, ROWS)
+
+
+def scan(spark: SparkSession, root: str, pattern: str = "*.zip", **how) -> DataFrame:
+    """Lines of the archives below root, as ``unpacked`` gives them."""
+    return unpacked(files(spark, root, pattern), **how)
 
 
 def _fault(path: str, content: bytes) -> str | None:
@@ -83,21 +93,25 @@ def _fault(path: str, content: bytes) -> str | None:
     return None if identity(names[0]) and identity(names[0]) == identity(path) else "member name"
 
 
-def verdicts(spark: SparkSession, root: str, checksums: DataFrame, pattern: str = "*.zip") -> DataFrame:
-    """Every archive below root against its published checksum (name, sha256): archive, name, sha256, expected and verdict, "ok" or the first fault."""
+def judged(archives: DataFrame, checksums: DataFrame) -> DataFrame:
+    """Every archive (path, content) against its published checksum (name, sha256): archive, name, sha256, expected and verdict, "ok" or the first fault."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(p, p.rsplit("/", 1)[-1], hashlib.sha256(c).hexdigest(), _fault(p, c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame(made, columns=["archive", "name", "sha256", "fault"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    found = files.select("path", "content").mapInPandas(run, "archive string, name string, sha256 string, fault string")
+    found = archives.select("path", "content").mapInPandas(run, "archive string, name string, sha256 string, fault string")
     joined = found.join(checksums.select("name", F.lower("sha256").alias("expected")), "name", "left")
     verdict = F.when(F.col("expected").isNull(), "no checksum").when(F.col("expected") != F.col("sha256"), "checksum differs").otherwise(F.coalesce("fault", F.lit("ok")))
     return joined.select("archive", "name", "sha256", "expected", verdict.alias("verdict"))
 
 
+def verdicts(spark: SparkSession, root: str, checksums: DataFrame, pattern: str = "*.zip") -> DataFrame:
+    """Verdicts of the archives below root."""
+    return judged(files(spark, root, pattern), checksums)
+
+
 def verified(spark: SparkSession, root: str, checksums: DataFrame, pattern: str = "*.zip", **how) -> DataFrame:
     """The lines of the archives whose verdict is ok."""
     good = verdicts(spark, root, checksums, pattern).filter("verdict = 'ok'").select("archive")
@@ -138,8 +152,7 @@ def checks(lines: DataFrame) -> DataFrame:
 
 def discover(spark: SparkSession, root: str, interval: str, first: str, last: str, suffix: str = "") -> DataFrame:
     """symbol, period and archive of the archives of an interval whose period is within first and last; names are read, contents are not."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*-{interval}-*.zip").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_extract("path", r"([A-Z0-9]+)-" + re.escape(interval) + r"-([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\.zip$", 0)
     part = lambda i: F.regexp_extract(name, r"^([A-Z0-9]+)-[0-9]+[a-zA-Z]+-(.+)\.zip$", i)
-    made = files.select(part(1).alias("symbol"), part(2).alias("period"), F.col("path").alias("archive"))
+    made = files(spark, root, f"*-{interval}-*.zip").select(part(1).alias("symbol"), part(2).alias("period"), F.col("path").alias("archive"))
     return made.filter((F.col("symbol") != "") & F.col("symbol").endswith(suffix) & F.col("period").between(first, last))

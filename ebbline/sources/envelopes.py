@@ -61,15 +61,21 @@ def index(spark: SparkSession, envelopes: DataFrame, table: str) -> int:
     return n
 
 
-def bars(envelopes: DataFrame, symbol: str, interval: str) -> DataFrame:
-    """Bars inside the payloads: rows are arrays or objects, bad ones are dropped, the first of a time wins."""
-    picked = envelopes.filter((F.col("params")["symbol"] == symbol) & (F.col("params")["interval"] == interval))
-    rows = picked.select("ingested_at_ms", "content_sha256", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "row"))
+def _of(envelopes: DataFrame, symbol: str | None) -> DataFrame:
+    """Envelopes of one symbol, or of all, with the symbol as a column."""
+    made = envelopes.withColumn("symbol", F.col("params")["symbol"])
+    return made.filter("symbol IS NOT NULL") if symbol is None else made.filter(F.col("symbol") == symbol)
+
+
+def bars(envelopes: DataFrame, symbol: str | None, interval: str) -> DataFrame:
+    """Bars inside the payloads (of every symbol if it is None): rows are arrays or objects, bad ones are dropped, the first of a time wins."""
+    picked = _of(envelopes, symbol).filter(F.col("params")["interval"] == interval)
+    rows = picked.select("symbol", "ingested_at_ms", "content_sha256", F.posexplode(F.from_json("payload", "array<string>")).alias("place", "row"))
     listed = F.from_json("row", "array<string>")
     value = lambda i, name: F.coalesce(F.get(listed, F.lit(i)), F.get_json_object("row", f"$.{name}"))
     number = lambda c, kind: c.try_cast(kind)
     made = rows.select(
-        F.lit(symbol).alias("symbol"),
+        "symbol",
         "ingested_at_ms",
         "content_sha256",
         "place",
@@ -79,7 +85,7 @@ def bars(envelopes: DataFrame, symbol: str, interval: str) -> DataFrame:
     return first_wins(good, ["symbol", "open_time"], ["ingested_at_ms", "content_sha256", "place"]).drop("ingested_at_ms", "content_sha256", "place")
 
 
-def funding(envelopes: DataFrame, symbol: str) -> DataFrame:
-    """Settlements inside the payloads."""
-    rows = envelopes.filter(F.col("params")["symbol"] == symbol).select(F.explode(F.from_json("payload", "array<struct<symbol:string,fundingTime:bigint,fundingRate:string>>")).alias("r"))
-    return rows.select(F.coalesce("r.symbol", F.lit(symbol)).alias("symbol"), F.col("r.fundingTime").alias("ts_ms"), F.col("r.fundingRate").try_cast("double").alias("rate")).filter("ts_ms IS NOT NULL AND rate IS NOT NULL")
+def funding(envelopes: DataFrame, symbol: str | None) -> DataFrame:
+    """Settlements inside the payloads, of every symbol if it is None."""
+    rows = _of(envelopes, symbol).select("symbol", F.explode(F.from_json("payload", "array<struct<symbol:string,fundingTime:bigint,fundingRate:string>>")).alias("r"))
+    return rows.select(F.coalesce("r.symbol", "symbol").alias("symbol"), F.col("r.fundingTime").alias("ts_ms"), F.col("r.fundingRate").try_cast("double").alias("rate")).filter("ts_ms IS NOT NULL AND rate IS NOT NULL")

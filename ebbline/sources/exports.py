@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.sources.archives import files
+
 TRADE = "array<struct<pair:string,open_date:string,close_date:string,open_rate:double,close_rate:double,stake_amount:double,profit_abs:double,exit_reason:string,is_open:boolean>>"
 
 
@@ -25,22 +27,29 @@ def _document(content: bytes) -> tuple[str | None, str | None]:
         return None, "broken archive"
 
 
-def scan(spark: SparkSession, root: str, strategy: str, pattern: str = "*.zip") -> DataFrame:
-    """archive, sha256, trades, metadata fields and fault of every export below root.
-
-    Faults, the first that applies: "broken archive", "not one result", "no strategy", "open trades", "no metadata"."""
+def documents(archives: DataFrame) -> DataFrame:
+    """archive, sha256, document and fault of every export (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(p, hashlib.sha256(c).hexdigest(), *_document(c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame(made, columns=["archive", "sha256", "document", "fault"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    found = files.select("path", "content").mapInPandas(run, "archive string, sha256 string, document string, fault string")
-    beside = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta.json").option("recursiveFileLookup", "true").load(root)
-    meta = beside.select(F.regexp_replace("path", r"\.meta\.json$", ".zip").alias("archive"), F.col("content").cast("string").alias("meta"))
+    return archives.select("path", "content").mapInPandas(run, "archive string, sha256 string, document string, fault string")
+
+
+def scan(spark: SparkSession, root: str, strategy: str, pattern: str = "*.zip") -> DataFrame:
+    """Exports below root, as ``read`` gives them."""
+    meta = files(spark, root, "*.meta.json").select(F.regexp_replace("path", r"\.meta\.json$", ".zip").alias("archive"), F.col("content").cast("string").alias("meta"))
+    return read(files(spark, root, pattern), meta, strategy)
+
+
+def read(archives: DataFrame, meta: DataFrame, strategy: str) -> DataFrame:
+    """archive, sha256, trades, metadata fields and fault of every export (path, content) with its metadata (archive, meta).
+
+    Faults, the first that applies: "broken archive", "not one result", "no strategy", "open trades", "no metadata"."""
     at = lambda c, *path: F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path))
-    made = found.join(meta, "archive", "left").select(
+    made = documents(archives).join(meta, "archive", "left").select(
         "archive",
         "sha256",
         "fault",
