@@ -308,12 +308,18 @@ def position_sizes(spark, d):
     return _r(made.filter("atr IS NOT NULL AND volatility > 0").select("symbol", "day_ms", size.alias("quantity")), "quantity")
 
 
+def _customer_trades(spark, d):
+    """Trades with their customer as the pair: few of them overlap."""
+    owners = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trade_id"), F.col("o_custkey").alias("pair"))
+    return trades(spark, d).drop("pair").join(owners, "trade_id")
+
+
 def occupancy_union(spark, d):
-    return episodes.merged(trades(spark, d))
+    return episodes.merged(_customer_trades(spark, d))
 
 
 def occupancy_summary(spark, d):
-    return episodes.occupancy(trades(spark, d))
+    return episodes.occupancy(_customer_trades(spark, d))
 
 
 def max_concurrency(spark, d):
@@ -322,8 +328,7 @@ def max_concurrency(spark, d):
 
 def sleep_periods(spark, d):
     """Gaps between the trades of each customer."""
-    owners = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trade_id"), F.col("o_custkey").alias("pair"))
-    return episodes.sleep_periods(trades(spark, d).drop("pair").join(owners, "trade_id"))
+    return episodes.sleep_periods(_customer_trades(spark, d))
 
 
 def realised_equity_daily(spark, d):
