@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbline.sources import scratch
+
 #: White space that separates words: space, tab, LF, VT, FF and CR.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
@@ -46,36 +45,18 @@ def blank_words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Without the setting, a temporary one where all run in one process; on a cluster it has to be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="ebbline-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from a table in the shared folder: its lineage ends there. The table goes when the application ends, or with ``discard``.
 
     While it is computed, Arrow batches are short: texts are long, and a worker holds a batch as a whole."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ebbline-{uuid.uuid4().hex}"
+    path = scratch.fresh(spark)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(int(before) if 0 < int(before) < BATCH_ROWS else BATCH_ROWS))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.ebbline_path = path
     return out
@@ -84,7 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that nothing reads any more."""
     for df in tables:
-        files, at = _file_system(df.sparkSession, df.ebbline_path)
+        files, at = scratch.file_system(df.sparkSession, df.ebbline_path)
         files.delete(at, True)
 
 
