@@ -225,16 +225,16 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 def forest(classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of classes (node, signed, sketch), each at most once for a tree and task."""
     spark = classes.sparkSession
-    twice = F.concat("signed", "signed")
-    rows = classes.select("node", "sketch", twice.alias("__twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    at = F.col("tree") * (4 * LEVELS)
-    keyed = rows.select(
-        "tree",
-        F.xxhash64(F.col("__twice").substr(at + 1, F.lit(4 * LEAST_DEPTH))).alias("prefix"),
-        "node",
-        "sketch",
-        F.col("__twice").substr(at + 1 + 4 * LEAST_DEPTH, F.lit(4 * (DEPTH - LEAST_DEPTH))).alias("deeper"),
-    )
+    width = 4 * DEPTH
+
+    def order(tree: Column) -> Column:
+        # a tree's values as bytes; the last tree's go on with the first values
+        at = tree * (4 * LEVELS)
+        own = F.concat(F.substr("signed", at + 1, F.lit(width)), F.substr("signed", F.lit(1), F.greatest(at + width - 4 * _VALUES, F.lit(0))))
+        return F.struct(tree.alias("tree"), F.xxhash64(F.substring(own, 1, 4 * LEAST_DEPTH)).alias("prefix"), F.substring(own, 4 * LEAST_DEPTH + 1, width).alias("deeper"))
+
+    # a row of the orders takes its few bytes along, not the signature
+    keyed = classes.select("node", "sketch", F.inline(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), order)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(n, "tree", "prefix", "deeper", "node").sortWithinPartitions("tree", "prefix", "deeper", "node")
     run = F.xxhash64("prefix", F.substring("deeper", 1, 4 * (crowd_depth(percent) - LEAST_DEPTH)))
