@@ -57,23 +57,41 @@ def trend_features(bars: DataFrame, slow: int, fast: int, entry: int, exit_: int
     return made.withColumn("enters", enters).withColumn("exits", exits)
 
 
-def _dealt(points: DataFrame, span: int, ts: str) -> DataFrame:
-    """points dealt to bins as long as the span, with own; each also to the next bin, which only looks back at it (not own). A frame of the span then never leaves a bin, and no task holds a symbol's whole history."""
-    at = F.floor(F.col(ts) / span)
-    return points.withColumn("__at", F.explode(F.array(F.struct(at.alias("bin"), F.lit(True).alias("own")), F.struct((at + 1).alias("bin"), F.lit(False).alias("own")))))
+def _in_span(points: DataFrame, value: Column, span: int, closed: bool, ts: str) -> DataFrame:
+    """row (a point), total and n: sum and number of the values over (t - span, t] in milliseconds, or [t - span, t] if closed.
+
+    Points are dealt to bins as long as the span. A frame is what its own bin has up to t, and what is left of the bin before: each point of
+    that bin stands at the time at which it drops out, with what the later ones hold. Every window only grows, so a row costs the same
+    however many rows its frame has; nothing is subtracted, and no task holds a symbol's whole history. Values are summed in two parts, of
+    which multiples of 2^-20 add up without error, so that long frames lose no digits."""
+    made = points.select("symbol", F.floor(F.col(ts) / span).alias("bin"), F.col(ts).alias("t"), F.struct(*points.columns).alias("row"), value.cast("double").alias("x")).withColumn("v", F.rint(F.col("x") * 2.0**20) / 2.0**20)
+    made = made.withColumn("w", F.nanvl(F.col("x") - F.col("v"), F.lit(0.0))).drop("x")
+    timed = made.filter("t IS NOT NULL")
+    sums = lambda over: (over(F.sum("v")).alias("v"), over(F.sum("w")).alias("w"), over(F.count("v")).alias("n"))
+    none = F.lit(None)
+    later = Window.partitionBy("symbol", "bin").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    after = timed.select("symbol", "bin", "t", F.struct(*sums(lambda c: c.over(later))).alias("rest"))
+    whole = timed.groupBy("symbol", "bin").agg(F.struct(*sums(lambda c: c)).alias("rest"))
+    blank = lambda at, kind: ("symbol", (F.col("bin") + 1).alias("bin"), at.alias("t"), F.lit(kind).alias("kind"), none.cast(made.schema["row"].dataType).alias("row"), none.cast("double").alias("v"), none.cast("double").alias("w"), "rest")
+    own = made.select("symbol", "bin", "t", F.lit(2).alias("kind"), "row", "v", "w", none.cast(after.schema["rest"].dataType).alias("rest"))
+    events = own.unionByName(after.select(*blank(F.col("t") + (span + 1 if closed else span), 1))).unionByName(whole.select(*blank((F.col("bin") + 1) * span, 0)))
+    key = Window.partitionBy("symbol", "bin")
+    so_far = key.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    left = F.last("rest", ignorenulls=True).over(key.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = events.select("row", "kind", F.struct(*sums(lambda c: c.over(so_far))).alias("own"), left.alias("left")).filter("kind = 2")
+    part = lambda c: F.coalesce(f"own.{c}", F.lit(0)) + F.coalesce(f"left.{c}", F.lit(0))
+    return held.select("row", (part("v") + part("w")).alias("total"), part("n").alias("n"))
 
 
 def with_mean_before(points: DataFrame, value: str, span: int, name: str, ts: str = "ts_ms") -> DataFrame:
     """points with the mean over (t - span, t] in milliseconds."""
-    frame = Window.partitionBy("symbol", "__at.bin").orderBy(ts).rangeBetween(-span + 1, 0)
-    return _dealt(points, span, ts).withColumn(name, F.avg(value).over(frame)).filter("__at.own").drop("__at")
+    return _in_span(points, F.col(value), span, False, ts).select("row.*", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias(name))
 
 
 def most_in_window(points: DataFrame, span: int, closed: bool, ts: str = "ts_ms") -> DataFrame:
     """Largest number of events in a rolling window: half-open (an event exactly span ago is out) or closed."""
-    frame = Window.partitionBy("symbol", "__at.bin").orderBy(ts).rangeBetween(-span if closed else -(span - 1), 0)
-    counted = _dealt(points.select("symbol", ts), span, ts).withColumn("n", F.count("*").over(frame))
-    return counted.filter("__at.own").groupBy("symbol").agg(F.max("n").alias("most"))
+    counted = _in_span(points.select("symbol", ts), F.lit(1.0), span, closed, ts)
+    return counted.groupBy(F.col("row.symbol").alias("symbol")).agg(F.max("n").alias("most"))
 
 
 def prior_days_percentile(points: DataFrame, value: str, days: int, p: float, ts: str = "ts_ms", least_days: int | None = None) -> DataFrame:

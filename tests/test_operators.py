@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import math
 import zipfile
 
 import numpy as np
@@ -337,3 +338,24 @@ def test_discover(spark, tmp_path):
         (tmp_path / name[:4] / f"{name}.zip").write_bytes(b"never opened")
     found = archives.discover(spark, str(tmp_path), "1d", "2024-01", "2024-02", "USDT")
     assert sorted((r.symbol, r.period) for r in found.collect()) == [("AUSDT", "2024-01"), ("EUSDT", "2024-02")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _spread(spark):
+    """Points with ties, gaps of more than a span, nulls and values of unlike sizes."""
+    rows = [("a", t, i, v) for i, (t, v) in enumerate([(0, 1.0), (9, 2.0), (10, None), (10, 1e9), (19, 0.1), (20, 0.2), (21, 1e-9), (55, None), (64, 3.0), (65, 4.0), (None, 5.0)])]
+    return spark.createDataFrame([*rows, ("b", 3, 20, 7.0)], "symbol string, ts_ms long, id long, v double")
+
+
+def test_rolling_mean_has_growing_windows_only(spark):
+    points = _spread(spark)
+    made = rolling.with_mean_before(points, "v", 10, "mean")
+    assert "RangeFrame, -10" not in _plan(made) and "RangeFrame, -9" not in _plan(made)
+    rows = points.collect()
+    for r in made.collect():
+        inside = [p.v for p in rows if p.symbol == r.symbol and p.v is not None and (p.ts_ms is None if r.ts_ms is None else p.ts_ms is not None and r.ts_ms - 10 < p.ts_ms <= r.ts_ms)]
+        assert r["mean"] == (pytest.approx(math.fsum(inside) / len(inside), rel=1e-15) if inside else None)
+    assert made.count() == len(rows)
