@@ -359,3 +359,10 @@ def test_rolling_mean_has_growing_windows_only(spark):
         inside = [p.v for p in rows if p.symbol == r.symbol and p.v is not None and (p.ts_ms is None if r.ts_ms is None else p.ts_ms is not None and r.ts_ms - 10 < p.ts_ms <= r.ts_ms)]
         assert r["mean"] == (pytest.approx(math.fsum(inside) / len(inside), rel=1e-15) if inside else None)
     assert made.count() == len(rows)
+
+
+def test_most_in_closed_window_has_growing_windows_only(spark):
+    points = _spread(spark)
+    made = rolling.most_in_window(points, 10, closed=True)
+    assert "RangeFrame, -10" not in _plan(made)
+    assert {r.symbol: r.most for r in made.collect()} == {"a": 4, "b": 1}
