@@ -366,3 +366,10 @@ def test_most_in_closed_window_has_growing_windows_only(spark):
     made = rolling.most_in_window(points, 10, closed=True)
     assert "RangeFrame, -10" not in _plan(made)
     assert {r.symbol: r.most for r in made.collect()} == {"a": 4, "b": 1}
+
+
+def test_most_in_half_open_window_has_growing_windows_only(spark):
+    points = _spread(spark)
+    made = rolling.most_in_window(points, 10, closed=False)
+    assert "RangeFrame, -9" not in _plan(made)
+    assert {r.symbol: r.most for r in made.collect()} == {"a": 3, "b": 1}
