@@ -38,11 +38,12 @@ def forward_common(signals: DataFrame, first: DataFrame, second: DataFrame, ts:
     a = signals.select("symbol", F.col(ts).alias("t"), F.col("id"), F.lit(None).cast("long").alias("open"), F.lit(1).alias("side"))
     b = common.select("symbol", F.col(open_time).alias("t"), F.lit(None).cast("long").alias("id"), F.col(open_time).alias("open"), F.lit(0).alias("side"))
     rows = a.unionByName(b).withColumn("bin", bucket(F.col("t"), span))
-    inside = Window.partitionBy("symbol", "bin").orderBy("t", "side").rowsBetween(1, Window.unboundedFollowing)
-    local = rows.withColumn("near", F.first("open", ignorenulls=True).over(inside)).filter("side = 1")
+    # from the last row to the first: Spark goes through such a window once, but through one that ends at its last row once for each row
+    inside = Window.partitionBy("symbol", "bin").orderBy(F.col("t").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("near", F.last("open", ignorenulls=True).over(inside)).filter("side = 1")
     bins = rows.groupBy("symbol", "bin").agg(F.min("open").alias("earliest"))
-    later = Window.partitionBy("symbol").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    carried = bins.select("symbol", "bin", F.first("earliest", ignorenulls=True).over(later).alias("after"))
+    later = Window.partitionBy("symbol").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select("symbol", "bin", F.last("earliest", ignorenulls=True).over(later).alias("after"))
     return local.join(carried, ["symbol", "bin"]).select("symbol", "id", F.col("t").alias(ts), F.coalesce("near", "after").alias("next_open"))
 
 

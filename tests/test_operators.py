@@ -373,3 +373,11 @@ def test_most_in_half_open_window_has_growing_windows_only(spark):
     made = rolling.most_in_window(points, 10, closed=False)
     assert "RangeFrame, -9" not in _plan(made)
     assert {r.symbol: r.most for r in made.collect()} == {"a": 3, "b": 1}
+
+
+def test_forward_as_of_goes_through_each_window_once(spark):
+    signals = spark.createDataFrame([("a", t, i) for i, t in enumerate((0, 4, 5, 9, 10, 24, 25, 26, None))], "symbol string, ts_ms long, id long")
+    opens = spark.createDataFrame([("a", t) for t in (5, 10, 25)], "symbol string, open_time long")
+    made = asof.forward_common(signals, opens, opens, span=10)
+    assert "unboundedfollowing" not in _plan(made).lower()
+    assert {r.id: r.next_open for r in made.collect() if r.ts_ms is not None} == {0: 5, 1: 5, 2: 10, 3: 10, 4: 25, 5: 25, 6: None, 7: None}
