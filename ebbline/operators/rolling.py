@@ -112,8 +112,10 @@ def corwin_schultz(bars: DataFrame, step: int) -> DataFrame:
     lag = lambda c: F.lag(c).over(w)
     rows = bars.select("symbol", "open_time", "high", "low", lag("high").alias("h1"), lag("low").alias("l1"), lag("open_time").alias("t1")).filter(F.col("open_time") - F.col("t1") == step)
     square = lambda x: x * x
-    beta = square(F.ln(F.col("h1") / F.col("l1"))) + square(F.ln(F.col("high") / F.col("low")))
-    gamma = square(F.ln(F.greatest("h1", "high") / F.least("l1", "low")))
+    # a low of zero has no error: its range is without bound, or without a value where the high is zero too, and the spread is then the largest
+    ratio = lambda a, b: F.when(b == 0, F.when(a == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise(F.try_divide(a, b))
+    beta = square(F.ln(ratio(F.col("h1"), F.col("l1")))) + square(F.ln(ratio(F.col("high"), F.col("low"))))
+    gamma = square(F.ln(ratio(F.greatest("h1", "high"), F.least("l1", "low"))))
     d = 3 - 2 * F.sqrt(F.lit(2.0))
     alpha = (F.sqrt(2 * beta) - F.sqrt(beta)) / d - F.sqrt(gamma / d)
     bounded = F.least(F.greatest(alpha, F.lit(0.0)), F.lit(50.0))

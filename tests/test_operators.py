@@ -5,7 +5,9 @@ import io
 import json
 import math
 import zipfile
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -381,3 +383,9 @@ def test_forward_as_of_goes_through_each_window_once(spark):
     made = asof.forward_common(signals, opens, opens, span=10)
     assert "unboundedfollowing" not in _plan(made).lower()
     assert {r.id: r.next_open for r in made.collect() if r.ts_ms is not None} == {0: 5, 1: 5, 2: 10, 3: 10, 4: 25, 5: 25, 6: None, 7: None}
+
+
+def test_corwin_schultz_takes_lows_of_zero(spark):
+    rows = [("a", 0, 2.0, 1.0), ("a", 1, 2.0, 0.0), ("a", 2, 0.0, 0.0), ("a", 3, 2.0, 2.0), ("a", 4, 2.0, 2.0)]
+    made = rolling.corwin_schultz(spark.createDataFrame(rows, "symbol string, open_time long, high double, low double"), 1)
+    assert {r.open_time: r.spread for r in made.collect()} == {1: 2.0, 2: 2.0, 3: 2.0, 4: 0.0}
