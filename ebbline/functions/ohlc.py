@@ -29,9 +29,14 @@ def errors(step: int, open_time: str = "open_time", volume: str = "volume", clos
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules)))
 
 
+def ends_early(step: int) -> Column:
+    """Whether a bar was closed before its interval ended, whatever its prices are."""
+    return (F.col("close_time") >= F.col("open_time")) & (F.col("close_time") < F.col("open_time") + step - 1)
+
+
 def closes_early(step: int) -> Column:
     """A bar that is otherwise legal but was closed before its interval ended."""
-    return legal() & (F.col("close_time") >= F.col("open_time")) & (F.col("close_time") < F.col("open_time") + step - 1)
+    return legal() & ends_early(step)
 
 
 def amplitude() -> Column:

@@ -389,3 +389,23 @@ def test_corwin_schultz_takes_lows_of_zero(spark):
     rows = [("a", 0, 2.0, 1.0), ("a", 1, 2.0, 0.0), ("a", 2, 0.0, 0.0), ("a", 3, 2.0, 2.0), ("a", 4, 2.0, 2.0)]
     made = rolling.corwin_schultz(spark.createDataFrame(rows, "symbol string, open_time long, high double, low double"), 1)
     assert {r.open_time: r.spread for r in made.collect()} == {1: 2.0, 2: 2.0, 3: 2.0, 4: 0.0}
+
+
+def _same_as_sql(spark, name, folder):
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    for f in Path(folder).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    made = entry.queries()[name](spark, str(folder))
+    want = db.execute(f"SELECT {', '.join(made.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+
+
+def _events(folder, rows):
+    duckdb.connect().execute(f"COPY (SELECT id::BIGINT AS event_id, make_timestamp(ms::BIGINT * 1000) AS ts, 1::BIGINT AS user_id, 'click' AS event_type, v::DOUBLE AS value FROM (VALUES {rows}) t(id, ms, v)) TO '{folder}/events.parquet'")
+
+
+def test_early_closed_bars_with_prices_of_zero(spark, tmp_path):
+    _events(tmp_path, "(1, 0, 0), (2, 60000, 1.5), (3, 18000000, 2), (4, 21600000, 0)")
+    _same_as_sql(spark, "early_closed_bars", tmp_path)
