@@ -23,7 +23,9 @@ def _copies(spark, d):
 
 def row_resolutions(spark, d):
     rows = _copies(spark, d)
-    rules = rows.filter("id % 16 = 0 AND v LIKE '%.__'").select("symbol", "ts_ms", row_sha256("v").alias("keep_sha256")).distinct()
+    # one rule for a key, whatever the number of its ticks: the last tick decides whether there is one, and the smallest plain text stays
+    last = rows.groupBy("symbol", "ts_ms").agg(F.max("id").alias("id"), F.min(F.when(F.col("v").like("%.__"), F.col("v"))).alias("v"))
+    rules = last.filter("id % 16 = 0").select("symbol", "ts_ms", row_sha256("v").alias("keep_sha256"))
     return registry.resolve(rows.select("symbol", "ts_ms", "v"), rules, ["symbol", "ts_ms"], ["v"])
 
 

@@ -409,3 +409,8 @@ def _events(folder, rows):
 def test_early_closed_bars_with_prices_of_zero(spark, tmp_path):
     _events(tmp_path, "(1, 0, 0), (2, 60000, 1.5), (3, 18000000, 2), (4, 21600000, 0)")
     _same_as_sql(spark, "early_closed_bars", tmp_path)
+
+
+def test_row_resolutions_with_several_ticks_at_a_time(spark, tmp_path):
+    _events(tmp_path, "(16, 5, 1.5), (32, 5, 1.25), (16, 6, 2), (17, 6, 3), (16, 7, 4), (3, 7, 4.5), (48, 8, 1), (64, 8, 1)")
+    _same_as_sql(spark, "row_resolutions", tmp_path)
