@@ -442,3 +442,8 @@ def test_marks_of_cycles_stay_with_their_cycle(spark):
         income += (12.0 + even) * 10 * 0.01
         want.append((t * 24 * H, pytest.approx(100 + (10.0 + even - 10 + 11 - 12 - even) * 10 + income - 1)))
     assert [(r.id, [tuple(m) for m in r.marks]) for r in marked.collect()] == [(1, want)]
+
+
+def test_funding_cycles_have_growing_windows_only(spark):
+    text = _plan(strategies.funding_cycles(spark, "/root/testdata/sf0.001")).lower()
+    assert "rangeframe, -259" not in text and "unboundedfollowing" not in text
