@@ -133,12 +133,12 @@ def _cycles(spark, d):
     one = lambda s: marks.filter(F.col("symbol") == s).select(F.col("day_ms").alias("ts_ms"), "close")
     settlements = marks.filter("symbol = '2'").select(F.col("day_ms").alias("ts_ms"), ((F.col("close") / F.col("open") - 1) / 1000).alias("rate"))
     t = trades(spark, d)
-    cycles = t.select(F.col("trade_id").alias("id"), F.col("open_ms").alias("opened"), F.col("close_ms").alias("closed"), F.col("open_rate").alias("entry_spot"), (F.col("open_rate") * 1.001).alias("entry_perp"), F.col("stake").alias("notional"), (F.col("stake") * 0.002).alias("costs"))
-    return validation.cycle_marks(cycles, settlements, one("0"), one("1")), t.select(F.col("close_ms").alias("closed"), (F.col("pnl") - 0.2).alias("net"))
+    cycles = t.select(F.col("trade_id").alias("id"), F.col("open_ms").alias("opened"), F.col("close_ms").alias("closed"), F.col("open_rate").alias("entry_spot"), (F.col("open_rate") * 1.001).alias("entry_perp"), F.col("stake").alias("notional"), (F.col("stake") * 0.002).alias("costs"), (F.col("pnl") - 0.2).alias("net"))
+    return cycles, settlements, one("0"), one("1")
 
 
 def cycle_drawdowns(spark, d):
-    return _r(validation.cycle_drawdowns(_cycles(spark, d)[0]), "drawdown")
+    return _r(validation.cycle_drawdowns(validation.cycle_marks(*_cycles(spark, d))), "drawdown")
 
 
 def cycle_equity(spark, d):

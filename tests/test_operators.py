@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import math
+import random
 import zipfile
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions import hashing, money, stats, time
 from ebbline.operators import asof, dedup, episodes, grid, indicators, paths, reconcile, resample, rolling, universe, validation
-from ebbline.plans import strategies, trend
+from ebbline.plans import checks, strategies, trend
 from ebbline.sources import archives, candles, envelopes, exports, sinks
 from ebbline.streaming import stateful, windows
 
@@ -447,3 +448,27 @@ def test_marks_of_cycles_stay_with_their_cycle(spark):
 def test_funding_cycles_have_growing_windows_only(spark):
     text = _plan(strategies.funding_cycles(spark, "/root/testdata/sf0.001")).lower()
     assert "rangeframe, -259" not in text and "unboundedfollowing" not in text
+
+
+def test_cycle_equity_adds_up_cycles_where_they_open_and_close(spark):
+    assert "explode(marks" not in _plan(checks.cycle_equity(spark, "/root/testdata/sf0.001"))
+    day, rng = 24 * H, random.Random(5)
+    spot, perp = ([(t * day, rng.uniform(9, 11)) for t in range(1, 40, k)] for k in (2, 3))
+    settled = [(t * day + h * H, rng.uniform(-0.01, 0.01) if t % 7 else None) for t in range(40) if t not in range(20, 25) for h in (0, 8)]
+    settled.append((41 * day, 0.002))
+    cycles = [(i, o := rng.randrange(0, 40 * 3) * 8 * H, o + rng.randrange(-1, 30) * 8 * H, rng.uniform(5, 20), rng.uniform(5, 20), 100.0, 0.2, rng.choice([None, 1.5, -1.25])) for i in range(60)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    price = "ts_ms long, close double"
+    made = validation.cycle_equity(frame(cycles, "id long, opened long, closed long, entry_spot double, entry_perp double, notional double, costs double, net double"), frame(settled, "ts_ms long, rate double"), frame(spot, price), frame(perp, price), 1000.0)
+    last = lambda rows, t: max((r for r in rows if r[0] <= t), default=(0, None))[1]
+    want = {}
+    for t, _ in settled:
+        if last(spot, t) is None or last(perp, t) is None or not any(c[1] < t <= c[2] for c in cycles):
+            continue
+        worth = sum(c[7] or 0 for c in cycles if c[2] <= t)
+        for _, opened, closed, s, p, notional, costs, _ in cycles:
+            if opened < t < closed:
+                income = sum(last(perp, u) * r for u, r in settled if opened < u <= t and r is not None and last(spot, u) is not None and last(perp, u) is not None)
+                worth += (last(spot, t) - s + p - last(perp, t) + income) * notional / s - costs / 2
+        want[t] = pytest.approx(1000 + worth, abs=1e-9)
+    assert want and {r.ts_ms: r.equity for r in made.collect()} == want
