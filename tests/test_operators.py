@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ebbline.functions import hashing, money, stats, time
 from ebbline.operators import asof, dedup, episodes, grid, indicators, paths, reconcile, resample, rolling, universe, validation
 from ebbline.plans import checks, strategies, trend
+from ebbline.plans import series as series_plans
 from ebbline.sources import archives, candles, envelopes, exports, sinks
 from ebbline.streaming import stateful, windows
 
@@ -472,3 +473,20 @@ def test_cycle_equity_adds_up_cycles_where_they_open_and_close(spark):
                 worth += (last(spot, t) - s + p - last(perp, t) + income) * notional / s - costs / 2
         want[t] = pytest.approx(1000 + worth, abs=1e-9)
     assert want and {r.ts_ms: r.equity for r in made.collect()} == want
+
+
+def _counts_times_once(spark, name, closed):
+    """The table is read once, and no event reaches a window before events of one time are one row; the numbers are those of a search."""
+    text = _plan(getattr(series_plans, name)(spark, "/root/testdata/sf0.001"))
+    assert text.count("FileScan") == 1 and text.rindex("partial_count") > text.rindex("Window")
+    rng = random.Random(3)
+    rows = [(s, rng.choice([rng.randrange(400), rng.randrange(400) // 20 * 20])) for s in "aab" for _ in range(150)] + [("c", -5), ("d", None), ("d", None), ("d", 7), (None, 9)]
+    points = spark.createDataFrame(rows, "symbol string, ts_ms long")
+    for span, bin in ((20, 7), (20, 20), (3, 50), (90, 30)):
+        inside = lambda t, u: u == t if t is None or u is None else t - span <= u <= t if closed else t - span < u <= t
+        want = {s: max(sum(r == s and inside(t, u) for r, u in rows) for q, t in rows if q == s) for s in ("a", "b", "c", "d", None)}
+        assert {r.symbol: r.most for r in rolling.most_in_window(points, span, closed, bin=bin).collect()} == want
+
+
+def test_most_in_closed_window_counts_times_once(spark):
+    _counts_times_once(spark, "rolling_event_max_closed", True)
