@@ -490,3 +490,7 @@ def _counts_times_once(spark, name, closed):
 
 def test_most_in_closed_window_counts_times_once(spark):
     _counts_times_once(spark, "rolling_event_max_closed", True)
+
+
+def test_most_in_half_open_window_counts_times_once(spark):
+    _counts_times_once(spark, "rolling_event_max_half_open", False)
