@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbline.functions import hashing, money, stats, time
-from ebbline.operators import asof, dedup, episodes, grid, indicators, paths, reconcile, resample, rolling, universe, validation
+from ebbline.operators import asof, dedup, episodes, funding, grid, indicators, paths, reconcile, resample, rolling, universe, validation
 from ebbline.plans import checks, strategies, trend
 from ebbline.plans import series as series_plans
 from ebbline.sources import archives, candles, envelopes, exports, sinks
@@ -494,3 +494,31 @@ def test_most_in_closed_window_counts_times_once(spark):
 
 def test_most_in_half_open_window_counts_times_once(spark):
     _counts_times_once(spark, "rolling_event_max_half_open", False)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_two_leg_cycles_are_those_of_a_fold(spark, seed):
+    import pandas as pd
+
+    assert "InPandas" not in _plan(strategies.funding_cycles(spark, "/root/testdata/sf0.001"))
+    rng, nan = random.Random(seed), float("nan")
+    rate = lambda: rng.choice([rng.uniform(-1, 1.2), rng.uniform(-1, -0.1), rng.uniform(-1, 1.2), None if seed == 1 else 0.5, nan if seed == 2 else -0.5])
+    points = [(s, t, i, rate()) for s in "ab" for i, t in enumerate(sorted(rng.randrange(900) for _ in range(300)))] + [("c", 5, 1, 1.0), ("c", 6, 2, 1.0), ("c", None, 3, 1.0)]
+    points += [("a", t, 1000 + t, -0.3) for t in range(400, 470, 9)]  # negative ones over several bins
+    rng.shuffle(points)
+    opens = [(s, t, 10.0 + t, 11.0 + t) for s in "ab" for t in range(0, 850, 13) if rng.random() < 0.7] + [("c", 6, 1.0, 2.0)]
+    want = []
+    for s in "abc":
+        rows = []
+        for _, t, i, r in (p for p in points if p[0] == s and p[1] is not None):
+            near = [x for q, u, _, x in points if q == s and u is not None and t - 30 < u <= t and x is not None]
+            following = min((o for o in opens if o[0] == s and o[1] > t), default=(s, None, None, None))
+            rows.append((s, t, i, nan if r is None else r, sum(near) / len(near) if near else nan, *following[1:]))
+        frame = pd.DataFrame(rows, columns=["symbol", "ts_ms", "id", "rate", "mean3d", "next_open", "spot", "perp"]).astype({"next_open": float, "spot": float, "perp": float})
+        want += strategies._cycles(frame, 0.02, 3, 100.0).itertuples(index=False)
+    clean = lambda r: tuple(None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else v for v in r)
+    want = sorted(map(str, (clean((w.symbol, int(w.opened), int(w.closed), int(w.settlements), *map(float, w[4:10]), bool(w.finished))) for w in want)))
+    df, legs = spark.createDataFrame(points, "symbol string, ts_ms long, id long, rate double"), spark.createDataFrame(opens, "symbol string, open_time long, spot double, perp double")
+    assert len(want) > 5
+    for bin in (7, 50):
+        assert sorted(str(clean(r)) for r in funding.two_leg_cycles(df, legs, 0.02, 3, 30, 100.0, bin=bin).collect()) == want
