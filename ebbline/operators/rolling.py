@@ -88,21 +88,21 @@ def with_mean_before(points: DataFrame, value: str, span: int, name: str, ts: st
     return _in_span(points, F.col(value), span, False, ts).select("row.*", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias(name))
 
 
-def most_in_window(points: DataFrame, span: int, closed: bool, ts: str = "ts_ms", bin: int = 86_400_000) -> DataFrame:
+def most_in_window(points: DataFrame, span: int, closed: bool, ts: str = "ts_ms", bin: int | None = None) -> DataFrame:
     """Largest number of events in a rolling window: half-open (an event exactly span ago is out) or closed.
 
-    Events of one time are counted before the shuffle. They are added at their time and taken off when they drop out, so a window's number is
-    a running sum of whole numbers, and no frame is gone through. It runs inside bins; a bin starts with the totals of the bins before, one row each.
+    Events of one time are counted before the shuffle. A window's number is a running sum less the running sum of what has dropped out: both
+    only grow, so no frame is gone through. They run inside bins (of four spans, if not given), which also get the times that can still be in
+    a window when they begin; there a sum misses what is older, and the bin before has the whole number.
     Events without a time are a window of their own."""
+    bin = bin or 4 * span
     times = points.groupBy("symbol", F.col(ts).alias("t")).agg(F.count("*").alias("n"))
-    out = F.struct((F.col("t") + (span + 1 if closed else span)).alias("t"), (-F.col("n")).alias("n"))
-    turns = times.select("symbol", F.explode(F.array(F.struct("t", "n"), out)).alias("e")).select("symbol", "e.*").filter("t IS NOT NULL OR n > 0")
-    key = Window.partitionBy("symbol", "bin").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    held = turns.withColumn("bin", F.floor(F.col("t") / bin)).withColumn("held", F.sum("n").over(key))
-    bins = held.groupBy("symbol", "bin").agg(F.max("held").alias("held"), F.sum("n").alias("n"))
-    earlier = Window.partitionBy("symbol").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(earlier), F.lit(0))
-    return bins.select("symbol", (F.col("held") + before).alias("held")).groupBy("symbol").agg(F.max("held").alias("most"))
+    bins = F.sequence(F.floor(F.col("t") / bin), F.floor((F.col("t") + span) / bin))
+    dealt = times.select("symbol", "t", "n", F.explode_outer(bins).alias("bin"))
+    key = Window.partitionBy("symbol", "bin").orderBy("t")
+    out = F.sum("n").over(key.rangeBetween(Window.unboundedPreceding, -(span + 1 if closed else span)))
+    held = F.sum("n").over(key.rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("t").isNotNull(), F.coalesce(out, F.lit(0))).otherwise(0)
+    return dealt.select("symbol", held.alias("held")).groupBy("symbol").agg(F.max("held").alias("most"))
 
 
 def prior_days_percentile(points: DataFrame, value: str, days: int, p: float, ts: str = "ts_ms", least_days: int | None = None) -> DataFrame:

@@ -496,6 +496,16 @@ def test_most_in_half_open_window_counts_times_once(spark):
     _counts_times_once(spark, "rolling_event_max_half_open", False)
 
 
+def test_most_in_half_open_window_sorts_events_once(spark):
+    """One sort by time, of the times themselves: no second row for a time that drops out, and no chain of bins afterwards."""
+    rng = random.Random(4)
+    rows = [(s, t) for s in "ab" for t in rng.sample(range(-900, 900), 300)] + [("c", t) for t in (0, 10, 19, 20, 79, 80, 99)] + [("d", None)]
+    made = rolling.most_in_window(spark.createDataFrame(rows, "symbol string, ts_ms long"), 20, closed=False)
+    assert _plan(made).count("Window [") == 1 and "array(struct(" not in _plan(made)
+    want = {s: max(sum(q == s and (u == t if t is None or u is None else t - 20 < u <= t) for q, u in rows) for r, t in rows if r == s) for s in "abcd"}
+    assert {r.symbol: r.most for r in made.collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_two_leg_cycles_are_those_of_a_fold(spark, seed):
     import pandas as pd
