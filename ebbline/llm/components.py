@@ -3,7 +3,7 @@
 Alternating large-star and small-star rounds (Kiveris et al., 2014) turn the edges into stars around each component's
 smallest node. Before them, each task replaces the edges that it happens to hold by the stars that they make. A round
 is a pre-aggregated minimum and a join, each result a table in the shared folder; the centres of large stars are
-broadcast, so their edges stay where they are.
+broadcast, so their edges stay where they are. Edges of a bounded number are finished by one task instead.
 """
 
 from __future__ import annotations
@@ -89,17 +89,24 @@ def _small(edges: DataFrame, bound: int) -> DataFrame:
 
 #: A star is hot from this many edges on, and from this share of all edges; at most twice the share's inverse are broadcast.
 HOT, HOT_SHARE = 500, 1 / 1000
+#: So many edges or fewer make their stars in one task: a round deals all of them out a dozen times, whatever their number.
+TOGETHER = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
     """node and root for every node of an edge (a, b); root is the smallest node that it reaches."""
     now = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInPandas(_stars, EDGES).distinct())
     while True:
+        before, n = now, now.count()
+        if n <= together:
+            now = cut(now.coalesce(1).mapInPandas(lambda batches: _stars(batches, 2 * together), EDGES))
+            discard(before)
+            break
         # stars: no node is both a root and a member, and no member has two roots
-        n, members = now.agg(F.count("*"), F.count_distinct("b")).first()
-        if n == members and not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+        if n == now.agg(F.count_distinct("b")).first()[0] and not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             break
         bound = max(HOT, int(n * HOT_SHARE))
-        before, now = now, cut(_small(_large(now, bound), bound))
-        discard(before)
+        large = cut(_large(now, bound))
+        now = cut(_small(large, bound))
+        discard(before, large)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))

@@ -349,6 +349,19 @@ def test_components(spark, edges):
     assert got == {x: root(x) for x in up}
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A round deals all edges out a dozen times. Few edges take none, and more edges come to the same by rounds."""
+    rounds, large = [], components._large
+    monkeypatch.setattr(components, "_large", lambda *a: rounds.append(1) or large(*a))
+    edges = [(x, x + 1) for x in range(40)] + [(100, x) for x in range(101, 130)] + [(129, 200), (7, 7), (None, 3)]
+    random.Random(1).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    want = {x: 0 for x in range(41)} | {x: 100 for x in [*range(100, 130), 200]}
+    got = lambda **more: {r.node: r.root for r in components.components(df, **more).collect()}
+    assert got() == want and not rounds
+    assert got(together=0) == want and rounds
+
+
 # --- line dedup
 
 
