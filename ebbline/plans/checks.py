@@ -138,7 +138,7 @@ def _cycles(spark, d):
 
 
 def cycle_drawdowns(spark, d):
-    return _r(validation.cycle_drawdowns(validation.cycle_marks(*_cycles(spark, d))), "drawdown")
+    return _r(validation.cycle_falls(*_cycles(spark, d)), "drawdown")
 
 
 def cycle_equity(spark, d):

@@ -532,3 +532,32 @@ def test_two_leg_cycles_are_those_of_a_fold(spark, seed):
     assert len(want) > 5
     for bin in (7, 50):
         assert sorted(str(clean(r)) for r in funding.two_leg_cycles(df, legs, 0.02, 3, 30, 100.0, bin=bin).collect()) == want
+
+
+def test_cycle_drawdowns_are_not_touched_by_income_before_a_cycle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(validation, "PART", 100, raising=False)
+    base, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("supplier", "nation", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    # before the first order a day whose rate is 10^12, and its income 10^18 a unit
+    region = "SELECT min(s_suppkey) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY n_regionkey"
+    more = f"SELECT l.* REPLACE (1000000 + i AS l_orderkey, s AS l_suppkey, TIMESTAMP '1994-12-31' AS l_shipdate, CASE i WHEN 0 THEN 1e-9 ELSE 1e6 END AS l_extendedprice) FROM (SELECT * FROM lineitem LIMIT 1) l, (VALUES (0), (1)) v(i), ({region}) r"
+    db.execute(f"COPY (SELECT * FROM lineitem UNION ALL {more}) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("supplier", "nation", "orders"):
+        db.execute(f"COPY (SELECT * FROM {t}) TO '{tmp_path}/{t}.parquet'")
+    _same_as_sql(spark, "cycle_drawdowns", tmp_path)
+
+
+def test_cycle_falls_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(validation, "PART", 7)
+    day, rng = 24 * H, random.Random(7)
+    spot, perp = ([(t * day, rng.uniform(9, 11)) for t in range(1, 40, k)] for k in (2, 3))
+    settled = [(t * day, rng.uniform(-0.01, 0.01) if t % 7 else None) for t in range(40)]
+    cycles = [(i, o := rng.randrange(0, 40 * 3) * 8 * H, o + rng.randrange(-1, 30) * 8 * H, rng.uniform(5, 20), rng.uniform(5, 20), 100.0, rng.choice([0.2, None])) for i in range(80)]
+    price = "ts_ms long, close double"
+    columns = "id long, opened long, closed long, entry_spot double, entry_perp double, notional double, costs double"
+    tables = [spark.createDataFrame(rows, names) for rows, names in ((cycles, columns), (settled, "ts_ms long, rate double"), (spot, price), (perp, price))]
+    made = validation.cycle_falls(*tables)
+    assert "collect_list" not in _plan(made)
+    want = {r.id: (pytest.approx(r.drawdown, abs=1e-12), r.settlements) for r in validation.cycle_drawdowns(validation.cycle_marks(*tables)).collect()}
+    assert len(want) > 40 and {r.id: (r.drawdown, r.settlements) for r in made.collect()} == want
